@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corvane.llm import linededup, packing, pii, quality, simhash
+from corvane.llm import chat, editembed, html_extract, linededup, packing, pieces, pii, quality, sharding, simhash
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,13 @@ def queries() -> dict[str, Query]:
         "op1_pii": lambda s, d: pii.report(table(s, d, "documents")),
         "op2_line_dedup": lambda s, d: linededup.report(table(s, d, "documents")),
         "op3_simhash": lambda s, d: simhash.report(table(s, d, "documents")),
+        "op4_edit_embedding": lambda s, d: editembed.report(table(s, d, "documents")),
+        "op5_chat_format": lambda s, d: chat.report(table(s, d, "conversations"), public_tokenizers.path("byte_bpe_50k.json")),
         "op6_packing": lambda s, d: packing.pack(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+        "op7_sharding": lambda s, d: sharding.assign(table(s, d, "documents")),
         "op8_quality": lambda s, d: quality.judge(table(s, d, "documents")),
+        "op9_pieces": lambda s, d: pieces.report(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
+        "op10_html_extract": lambda s, d: html_extract.report(table(s, d, "pages")),
         "pipeline": corpus_pipeline.run,
     }
 
