@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.scratch import saved, scratch
+from corvane.sources.tables import table
+
+__all__ = ["WHITE", "bounded_batches", "gapless", "partitions", "saved", "scratch", "sha256_text", "table"]
+
 #: The white space of every contract here: space and \x09 to \x0D.
 WHITE = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 8 << 20
-_own: list[str] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="corvane-"))
-        base = _own[0]
-    return base.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again.
-
-    This cuts the lineage, and an executor that is lost later costs nothing but its own tasks.  The caller clears the
-    folder when the job is over, as with checkpoint().
-    """
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -40,10 +20,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

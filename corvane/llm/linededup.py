@@ -7,7 +7,8 @@ are kept, and the lines of every document are merge-joined with them.
 
 Defined cases: a null text is one empty line; a null doc_id counts as a document, holds no "largest" place and keeps no
 line of a key held elsewhere; every row counts as one document, so a repeated row counts again, and rows that share the
-largest doc_id all keep the line; an empty table gives an empty result; further columns are kept by :func:`dedup`.
+largest doc_id all keep the line; an empty table gives an empty result; further columns are kept by
+:func:`dedup`, but for n_lines and n_dropped, which it sets.
 Keys are compared by 128 bits of hash.
 """
 
@@ -112,15 +113,16 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``docs`` with the kept lines as ``text``, and n_lines (before dropping) and n_dropped."""
     lines, keys = repeated(docs, batches)
     lost = lines.join(keys, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    per_doc = lost.groupBy(F.col("doc_id").alias("_id"), F.col("x").alias("_x")).agg(F.collect_set("pos").alias("_lost"))  # at most the lines of one document
-    df = docs.withColumn("_y", _hash()).join(per_doc, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_y") == F.col("_x")), "left")
-    df = df.withColumn("_split", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_lost"), lambda i: F.get("_split", i))
-    kept = F.when(F.col("_lost").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(stay, "\n"))
+    per_doc = lost.groupBy(F.col("doc_id").alias("__id"), F.col("x").alias("__x")).agg(F.collect_set("pos").alias("__lost"))  # at most the lines of one document
+    df = docs.withColumn("__y", _hash())
+    df = df.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__y") == F.col("__x")), "left")
+    df = df.withColumn("__split", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__lost"), lambda i: F.get("__split", i))
+    kept = F.when(F.col("__lost").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(stay, "\n"))
     return df.select(
-        *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("_split").cast("long").alias("n_lines"),
-        F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long").alias("n_dropped"),
+        *[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.size("__split").cast("long").alias("n_lines"),
+        F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("long").alias("n_dropped"),
     )
 
 

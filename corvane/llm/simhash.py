@@ -283,5 +283,5 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
     Rows that share the smallest doc_id all stay; rows without a doc_id stay only if their whole component has none.
     """
-    kept = groups(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = groups(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
