@@ -23,7 +23,7 @@ RULES = 8
 #: The posterior from which a document is kept.
 KEEP_FROM = 0.5
 #: What EM starts from and is drawn to: chances of the votes bad, abstain and good for a bad and for a good document, worth PRIOR_ROWS documents.
-PRIOR_VOTES = {"bad": (0.35, 0.35, 0.30), "good": (0.01, 0.14, 0.85)}
+PRIOR_VOTES = {"bad": (0.25, 0.15, 0.60), "good": (0.003, 0.1, 0.897)}
 PRIOR_ROWS, PRIOR_GOOD, EM_ROUNDS = 20.0, 0.8, 60
 
 
@@ -50,12 +50,13 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
         (F.length("_trim") - F.length(_gone(F.col("_trim"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
         (F.length("_trim") - F.length(_gone(F.col("_trim"), "!?"))).cast("long").alias("n_marks"),
         F.length(F.regexp_replace("_trim", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("_trim", r"\P{L}+", "")).cast("long").alias("n_letters"),
         lines.alias("_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
     )
     df = df.withColumn("_windows", F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(0), F.size("_h") - 5), lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(5))))).otherwise(F.array().cast("array<bigint>")))
     df = df.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_marks", "n_upper",
+        *keep, "n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_letters",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("_h")).cast("long").alias("n_distinct"),
@@ -79,8 +80,9 @@ def votes() -> list[Column]:
         return F.when(bad, 0).when(good, 2).otherwise(1)
 
     chars = F.col("word_chars") / n
+    letters = F.col("n_letters") / F.greatest(F.col("word_chars"), F.lit(1))
     return [
-        rule(F.col("n_words") < 10, F.col("n_words") >= 20),
+        rule(letters < 0.88, letters > 0.92),
         rule((chars < 2) | (chars > 14), (chars > 2.5) & (chars < 11)),
         rule(F.col("n_symbols") / n > 0.2, F.col("n_symbols") / n < 0.05),
         rule(F.col("n_marks") / n > 0.5, F.col("n_marks") / n < 0.1),
@@ -143,7 +145,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Verdicts are found by doc_id and text hash, nulls included, so repeated ids with different texts are told apart.
     """
-    key = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_x"), "text")
-    found = saved(features(key, "_id", "_x"), "quality")
-    good = found.filter(~base_failed() & (posterior(found) >= KEEP_FROM)).select("_id", "_x").distinct()
-    return docs.withColumn("_y", F.coalesce(F.xxhash64("text"), F.lit(0))).join(good, docs["doc_id"].eqNullSafe(good["_id"]) & (F.col("_y") == good["_x"]), "left_semi").drop("_y")
+    key = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__x"), "text")
+    found = saved(features(key, "__id", "__x"), "quality")
+    good = found.filter(~base_failed() & (posterior(found) >= KEEP_FROM)).select("__id", "__x").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__x"))
+    return docs.join(good, same, "left_semi")
