@@ -126,8 +126,8 @@ _NB = """tr AS (SELECT label AS c, generate_subscripts(embedding, 1) - 1 AS dim,
   eps AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT var_pop(x) AS v FROM tr GROUP BY dim)), tot AS (SELECT count(*) AS total FROM embeddings WHERE vec_id % 10 < 7),
   mo AS (SELECT c, dim, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM tr GROUP BY c, dim),
   te AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 10 >= 7),
-  li AS (SELECT vec_id, label, c, sum(-0.5::DOUBLE * ln(2 * pi() * (var + eps)) - (x - mean) * (x - mean) / (2 * (var + eps))) + any_value(ln(n / total::DOUBLE)) AS like FROM te JOIN mo USING (dim), eps, tot GROUP BY vec_id, label, c),
-  nb AS (SELECT vec_id, label, arg_max(c, (round(like, 6), -c)) AS guess FROM li GROUP BY vec_id, label)"""
+  li AS (SELECT vec_id, label, c, sum(-0.5::DOUBLE * ln(2 * pi() * (var + eps)) - (x - mean) * (x - mean) / (2 * (var + eps))) + any_value(ln(n / total::DOUBLE)) AS ll FROM te JOIN mo USING (dim), eps, tot GROUP BY vec_id, label, c),
+  nb AS (SELECT vec_id, label, arg_max(c, (round(ll, 6), -c)) AS guess FROM li GROUP BY vec_id, label)"""
 
 
 def _f1(rows: str, a: str, b: str) -> str:
