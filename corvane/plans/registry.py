@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("retrieval", "trace", "text", "graph", "planning", "checks", "stats", "joins")
+MODULES = ("retrieval", "trace", "text", "graph", "planning", "checks", "stats", "joins", "report")
 
 
 def queries() -> dict[str, Query]:

@@ -227,12 +227,12 @@ def test_scripts():
 
 def test_supported_and_nearest(spark):
     r = np.random.default_rng(0)
-    asked = [(round(float(v), d), d) for v, d in zip(r.normal(size=400) * 10.0 ** r.integers(-6, 6, 400), r.integers(-2, 9, 400))]
+    asked = [(round(float(v), int(d)), int(d)) for v, d in zip(r.normal(size=400) * 10.0 ** r.integers(-6, 6, 400), r.integers(-2, 9, 400))]
     have = [float(v) for v in r.normal(size=400) * 10.0 ** r.integers(-6, 6, 400)] + [v + 0.4 * 10.0**-d for v, d in asked[:100]]
-    got = joins.supported(spark.createDataFrame([(v, int(d)) for v, d in asked], "value double, decimals int"), spark.createDataFrame([(v,) for v in have], "value double"))
+    got = joins.supported(spark.createDataFrame(asked, "value double, decimals int"), spark.createDataFrame([(v,) for v in have], "value double"))
     h = np.array(have)
-    want = [(v, d) for v, d in asked if (np.abs(h - v) <= 0.5 * 10.0 ** -float(d) + 1e-12 * abs(v)).any()]
-    assert values(got, "value", "decimals") == sorted(((v, int(d)) for v, d in want), key=repr)
+    want = [(v, d) for v, d in asked if (np.abs(h - v) <= 0.5 * 10.0 ** -d + 1e-12 * abs(v)).any()]
+    assert values(got, "value", "decimals") == sorted(want, key=repr)
 
 
 def test_budget_and_status(spark):
