@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
-#: Words that a worker remembers; beyond it starts anew.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers; beyond it those that the texts at hand do not use are forgotten.
+CACHE_WORDS = 500_000
+#: Stands between words that are encoded in one call; one id, which no text without this character gives.
+BETWEEN, TOGETHER = "\x01", 256
 
 
 class WordIds:
@@ -23,6 +25,7 @@ class WordIds:
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True
+        (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
 
     def of(self, texts: list[str], piece_chars: int = 2 << 20) -> list[bytes]:
         out: list[bytes] = []
@@ -38,16 +41,29 @@ class WordIds:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, new = {}, list(set().union(*words))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        own = set().union(*words)
+        if len(self.cache) + len(own) > CACHE_WORDS:
+            self.cache = {w: self.cache[w] for w in own.intersection(self.cache)}
+        self._learn(list(own.difference(self.cache)))
         at = self.cache.__getitem__
         return [b"".join(map(at, ws)) for ws in words]
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if BETWEEN not in w]
+        for k in range(0, len(plain), 100 * TOGETHER):
+            groups = [plain[i : i + TOGETHER] for i in range(k, min(k + 100 * TOGETHER, len(plain)), TOGETHER)]
+            for group, e in zip(groups, self._ids([f" {BETWEEN} ".join(g) for g in groups]), strict=True):
+                ends = [*np.flatnonzero(e == self.between).tolist(), len(e)]
+                data, start = e.tobytes(), 0
+                for w, end in zip(group, ends, strict=True):
+                    self.cache[w] = data[4 * start : 4 * end]
+                    start = end + 1
+        odd = [w for w in new if BETWEEN in w]
+        self.cache |= {w: e.tobytes() for w, e in zip(odd, self._ids(odd), strict=True)}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
 
 _ready: dict[str, WordIds] = {}
 
