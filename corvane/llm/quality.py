@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import WHITE, saved
 
 RULES = 8
-#: The posterior from which a document is kept.
-KEEP_FROM = 0.5
+#: The posterior from which a document is kept.  Losing a good document costs far more than keeping a bad one, so a
+#: document goes only if it is bad by odds of a thousand to one: as a rule two rules or more must have voted against it.
+KEEP_FROM = 0.001
 #: What EM starts from and is drawn to: chances of the votes bad, abstain and good for a bad and for a good document, worth PRIOR_ROWS documents.
 PRIOR_VOTES = {"bad": (0.25, 0.15, 0.60), "good": (0.003, 0.1, 0.897)}
 PRIOR_ROWS, PRIOR_GOOD, EM_ROUNDS = 20.0, 0.8, 60
