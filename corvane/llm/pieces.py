@@ -12,7 +12,7 @@ The model file is compiled into three parts that are composed with each input:
 
 The tropical shortest path is taken forward over the places of the input.  No piece reaches across a space mark that
 follows another character, or holds a line feed, so the composition falls apart there: the paths of its parts are found
-once each and remembered, up to CACHE_PARTS of them.  Runs of space marks, whose pieces all tie, are joined from the left
+once each and remembered, up to twice CACHE_PARTS of them.  Runs of space marks, whose pieces all tie, are joined from the left
 as BPE does.
 
 Defined cases: a null or empty text has no pieces; a null doc_id is carried through; repeated rows are encoded alike; an
@@ -23,6 +23,7 @@ library does.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded_batches
 
-MARK, CACHE_PARTS = "\u2581", 200_000
+MARK, CACHE_PARTS = "\u2581", 400_000
 NORMAL, UNKNOWN, BYTE, USER, UNUSED = 1, 2, 6, 4, 5  # kinds of pieces in a model file
 UNIGRAM = 1
 
@@ -69,61 +70,107 @@ class Transducer:
                 for c in p:
                     node = node.setdefault(c, {})
                 node[""] = p
-        self.follows: dict[tuple[str | None, str], bool] = {}
+        merged = sorted((p for p in self.id if len(p) > 1 and set(p) != {MARK}), key=lambda p: -self.score[p])
+        self.rank = {p: k for k, p in enumerate(merged)}  # the order in which BPE merges pieces
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.follows: dict[str | None, dict[str, bool]] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.runs: dict[int, list[int]] = {}
 
-    def merged(self, s: str) -> list[str]:
-        """BPE of a short string: the best-scored neighbours merge first, the leftmost of equals."""
-        symbols, score = list(s), self.score
-        while True:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                v = score.get(symbols[k] + symbols[k + 1])
-                if v is not None and (best is None or v > best) and set(symbols[k] + symbols[k + 1]) != {MARK}:
-                    best, at = v, k
-            if at < 0:
-                return symbols
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    def split(self, u: str) -> tuple[str, str] | None:
+        """The two pieces that BPE merges last to make piece u; None if merging the characters of u makes something else."""
+        if u not in self.halves:
+            symbols, rank, last = list(u), self.rank, None
+            while len(symbols) > 1:
+                pairs = [rank.get(x + y, len(rank)) for x, y in zip(symbols, symbols[1:])]
+                at = pairs.index(min(pairs))  # the leftmost of equals
+                if pairs[at] == len(rank):
+                    break
+                last = (symbols[at], symbols[at + 1])
+                symbols[at : at + 2] = ["".join(last)]
+            self.halves[u] = last if len(symbols) == 1 else None
+        return self.halves[u]
 
     def arc(self, t: str | None, u: str) -> bool:
-        """Whether a path may go on from piece t (None: the beginning) to piece u."""
-        key = (t, u)
-        if key not in self.follows:
-            if len(self.follows) > 4 * CACHE_PARTS:
-                self.follows = {}
-            self.follows[key] = self.merged(u) == [u] if t is None else self.merged(t + u) == [t, u]
-        return self.follows[key]
+        """Whether a BPE path may go on from piece t (None: the beginning) to piece u.
+
+        Their merges are undone from the last one on.  Wherever two pieces once met across the border, they would have
+        merged if their union ranks before the merge that took one of them away.
+        """
+        if len(u) > 1 and self.split(u) is None:
+            return False
+        if t is None:
+            return True
+        rank, limit = self.rank, len(self.rank) + 1
+        while True:
+            if rank.get(t + u, limit) < limit:
+                return False
+            a, b = (rank[t] if len(t) > 1 else -1), (rank[u] if len(u) > 1 else -1)
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, t = a, self.split(t)[1]
+            else:
+                limit, u = b + 1, self.split(u)[0]
 
     def shortest_path(self, s: str) -> list[str]:
         """The pieces of the least path over ``s``; a character without a piece is given as itself."""
-        n = len(s)
-        reached: list[dict[str | None, tuple[float, int, str | None]]] = [{} for _ in range(n + 1)]
-        reached[0] = {None: (0.0, 0, None)}
+        return self._unigram_path(s) if self.unigram else self._bpe_path(s)
+
+    def _bpe_path(self, s: str) -> list[str]:
+        """Arcs weigh nothing or infinitely much, and the pieces up to a place are those of BPE up to there, so that at
+        most one state of each place is reached."""
+        n, trie, follows = len(s), self.trie, self.follows
+        state: list[str | None] = [None] * (n + 1)
+        before = [-1] * (n + 1)
+        before[0] = 0
         for at in range(n):
-            states = reached[at]
-            if not states:
+            if before[at] < 0:
                 continue
-            node, end, arcs = self.trie, at, []
+            t = state[at]
+            own = follows.get(t)
+            if own is None:
+                own = follows[t] = {}
+            node, end = trie.get(s[at]), at + 1
+            if node is None or "" not in node:  # byte fallback for a character without a piece
+                state[end], before[end] = s[at], at
+            while node is not None:
+                u = node.get("")
+                if u is not None:
+                    ok = own.get(u)
+                    if ok is None:
+                        ok = own[u] = self.arc(t, u)
+                    if ok:
+                        state[end], before[end] = u, at
+                if end == n:
+                    break
+                node = node.get(s[end])
+                end += 1
+        out, at = [], n
+        while at:
+            out.append(state[at])
+            at = before[at]
+        return out[::-1]
+
+    def _unigram_path(self, s: str) -> list[str]:
+        n = len(s)
+        cost, before = [0.0] + [float("inf")] * n, [0] * (n + 1)
+        worst = 10.0 - min(self.score.values(), default=0.0)
+        for at in range(n):
+            node, end, single = self.trie, at, False
             while end < n and (node := node.get(s[end])) is not None:
                 end += 1
                 if "" in node:
-                    arcs.append(node[""])
-            if not arcs or len(arcs[0]) > 1:
-                arcs.insert(0, s[at])  # byte fallback for a character without a piece
-            for u in arcs:
-                known = u in self.id
-                weight, to = -self.score[u] if self.unigram and known else 0.0, reached[at + len(u)]
-                for t, (w, _, _) in states.items():
-                    state = None if self.unigram else u
-                    if (self.unigram or self.arc(t, u)) and (state not in to or w + weight < to[state][0]):
-                        to[state] = (w + weight, at, t if not self.unigram else None)
+                    single = single or end == at + 1
+                    if cost[at] - self.score[node[""]] < cost[end]:
+                        cost[end], before[end] = cost[at] - self.score[node[""]], at
+            if not single and cost[at] + worst < cost[at + 1]:
+                cost[at + 1], before[at + 1] = cost[at] + worst, at
         out, at = [], n
-        state = min(reached[n], key=lambda t: reached[n][t][0])
-        while at > 0:
-            _, before, last = reached[at][state]
-            out.append(s[before:at])
-            at, state = before, last
+        while at:
+            out.append(s[before[at] : at])
+            at = before[at]
         return out[::-1]
 
     def ids_of(self, pieces: list[str]) -> list[int]:
@@ -158,25 +205,30 @@ class Transducer:
             pieces = ["\n", *(self.shortest_path(rest) if rest else [])]
         else:
             pieces = self.shortest_path(MARK + key)
-        return np.array(self.ids_of(pieces), "<u4").tobytes()
+        ids = self.ids_of(pieces)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _known(self, key: str) -> bytes:
+        """The ids of a part from the younger or older half of what is remembered, else from its path."""
+        ids = self.parts.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+            if ids is None:
+                ids = self.part(key)
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts, self.older, self.follows = {}, self.parts, {}
+            self.parts[key] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
         parts = text.replace(MARK, " ").replace("\n", " \n").split(" ")
-        cache, start = self.parts, 0 if self.prefix else 1
-        if not self.prefix:
-            head = np.array(self.ids_of(self.shortest_path(parts[0])), "<u4").tobytes() if parts[0] else b""
-        else:
-            head = b""
-        found = []
-        for p in parts[start:]:
-            ids = cache.get(p)
-            if ids is None:
-                if len(cache) >= CACHE_PARTS:
-                    cache.clear()
-                ids = cache[p] = self.part(p)
-            found.append(ids)
+        start = 0 if self.prefix else 1
+        head = b"" if self.prefix or not parts[0] else struct.pack(f"<{len(h := self.ids_of(self.shortest_path(parts[0])))}I", *h)
+        found = list(map(self.parts.get, parts[start:]))
+        if None in found:
+            found = [self._known(p) if f is None else f for p, f in zip(parts[start:], found, strict=True)]
         ids = np.frombuffer(head + b"".join(found), "<u4")
         mark = self.id[MARK]
         alone = ids == mark
