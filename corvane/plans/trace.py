@@ -100,7 +100,7 @@ def stream_budget(s: SparkSession, d: str) -> DataFrame:
 
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
     out = S.run_available(S.windows_stream(S.event_stream(s, d)), "complete")
-    return out.select(F.date_from_unix_date((F.unix_micros("window.start") / 86_400_000_000).cast("int")).alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.date_from_unix_date((F.unix_micros("window.start") / 86_400_000_000).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 QUERIES = {
@@ -131,5 +131,5 @@ SQL = {
     "stream_usage": f"SELECT event_type, count(*) AS calls, CAST(sum({_V}) AS BIGINT) AS tokens FROM events GROUP BY 1",
     "stream_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY user_id",
     "stream_budget": "SELECT user_id, round(sum(value), 4) AS spent, 500 - sum(value) <= 100 AS stopped FROM events GROUP BY user_id",
-    "stream_windows": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "stream_windows": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
