@@ -21,6 +21,7 @@ gives an empty result; further columns are kept by :func:`keep_one`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -132,6 +133,8 @@ def _within(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarra
     rows = np.arange(n)
     for step in range(1, int((ends - starts).max(initial=0))):
         rows = rows[rows + step < end[rows]]
+        if not len(rows):
+            break
         other = rows + step
         apart = label[rows] != label[other]
         a, b = rows[apart], other[apart]
@@ -141,6 +144,8 @@ def _within(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarra
             at, to = _forest(n, np.concatenate([a[near], rows_of(label)]), np.concatenate([b[near], label[rows_of(label)]]))
             low[at] = to
             label = low
+            whole = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+            rows = rows[~np.repeat(whole, ends - starts)[rows]]  # runs that are one component already are done
     joined = np.flatnonzero(label != np.arange(n))
     return fps[joined], fps[label[joined]]
 
@@ -214,7 +219,7 @@ def near_edges(fps: DataFrame, radius: int, agree: int) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints within ``radius`` bits, over any number of steps."""
     choices = masks(radius, agree)
     keyed = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(choices)])).alias("k"))
-    keyed = keyed.select("k", "fp").repartition(partitions(fps.sparkSession), "k").sortWithinPartitions("k")
+    keyed = keyed.select("k", "fp").repartition(partitions(fps.sparkSession), "k").sortWithinPartitions("k", "fp")
     met = saved(keyed.mapInArrow(lambda b: _meet(b, radius), "u long, v long, k long, block long"), "edges")
     return met.filter(F.col("v").isNotNull()).select("u", "v").unionByName(_hot_edges(met, radius))
 
@@ -255,16 +260,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def agreeing_blocks(n: int) -> int:
-    """How many blocks must agree, so that chance meetings stay few for n fingerprints: more blocks, longer keys."""
-    return 2 if n < 1 << 22 else 3 if n < 1 << 28 else 4
+def agreeing_blocks(n: int, radius: int) -> int:
+    """How many blocks must agree, so that chance meetings stay few for n fingerprints: more blocks, longer keys.
+
+    Every choice is exact; the number only sets how many keys a fingerprint has and how many others share one.
+    """
+    agree = 2
+    while agree < 4 and BITS * agree // (radius + agree) < max(17, math.log2(n + 1) - 1):
+        agree += 1
+    return agree
 
 
 def groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable by links, for each row of ``docs``."""
     rows = saved(fingerprints(docs, words), "fingerprints")
     reps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = near_edges(reps.select("fp"), radius, agreeing_blocks(reps.count()))
+    edges = near_edges(reps.select("fp"), radius, agreeing_blocks(reps.count(), radius))
     found = components(edges)
     joined = found.join(reps, found["node"] == reps["fp"]).select("fp", "root", "rep")
     joined = joined.unionByName(found.select(F.col("root").alias("fp"), "root").distinct().join(reps, "fp").select("fp", "root", "rep"))
@@ -278,7 +289,11 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+#: Of :func:`keep_one`: eight bits stand for a similarity of shingle sets of about 0.85, and most pairs of 0.8 or more.
+KEEP_RADIUS = 8
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = KEEP_RADIUS) -> DataFrame:
     """The rows of ``docs`` that are the smallest of their component, one of each group of near copies.
 
     Rows that share the smallest doc_id all stay; rows without a doc_id stay only if their whole component has none.

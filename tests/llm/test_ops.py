@@ -156,8 +156,8 @@ def test_simhash(docs, texts):
     assert {d: r["component_id"] for d, r in got.items()} == brute_components(prints)
 
 
-@pytest.mark.parametrize("hot", [4096, 8])
-def test_simhash_edges_on_dense_prints(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, radius, agree", [(4096, 4, 2), (8, 4, 2), (4096, 8, 3), (16, 8, 3)])
+def test_simhash_edges_on_dense_prints(spark, monkeypatch, hot, radius, agree):
     """Chains and balls of near fingerprints, with keys below and above the size of a block."""
     r = np.random.default_rng(1)
     centres = [int(x) for x in r.integers(0, 2**63, 6)]
@@ -176,13 +176,13 @@ def test_simhash_edges_on_dense_prints(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
     signed = [(int(np.uint64(p).astype(np.int64)),) for p in prints.values()]
     fps = spark.createDataFrame(signed, "fp long")
-    found = simhash.components(simhash.near_edges(fps, 4, 2))
+    found = simhash.components(simhash.near_edges(fps, radius, agree))
     root = {r["node"]: r["root"] for r in found.collect()}
     got = {}
     for i, (s,) in enumerate(signed):
         got.setdefault(root.get(s, s), set()).add(i)
     want = {}
-    for i, c in brute_components(prints).items():
+    for i, c in brute_components(prints, radius).items():
         want.setdefault(c, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
