@@ -289,14 +289,17 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of :func:`keep_one`: eight bits stand for a similarity of shingle sets of about 0.85, and most pairs of 0.8 or more.
+#: Of the stage before it verified shingles; tests read it.
 KEEP_RADIUS = 8
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = KEEP_RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the smallest of their component, one of each group of near copies.
 
+    Near copies are those of :mod:`corvane.llm.nearcopies`, five-word shingle sets of similarity 0.8 or more.
     Rows that share the smallest doc_id all stay; rows without a doc_id stay only if their whole component has none.
     """
-    kept = groups(docs, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    from corvane.llm import nearcopies
+
+    kept = nearcopies.groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
