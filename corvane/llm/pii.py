@@ -39,9 +39,12 @@ _DIGITS = re.compile(r"[0-9]++")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_AT = re.compile(r"([A-Za-z0-9._-]{2,32})\s?[(\[]\s?at\s?[)\]]\s?([A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)+)")
-_VALUE = re.compile(r"[=:]\s*[\"']([^\"'\s]{8,512})[\"']")
-_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{20,512}")
+_AT = re.compile(r"\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)+")
+_VALUE = re.compile(r"[=:]\s*[\"']([^\"'\s]{8,}+)[\"']")
+_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{20,}+")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
+#: Digits that go on before or after a proposal: joined by a mark, or set apart by a space.
+_BESIDE = [re.compile(r"[0-9][-./(]$"), re.compile(r"[0-9][)./-]? [(+]?$"), re.compile(r"^[-./)][0-9]"), re.compile(r"^[)./-]? [(]?[0-9]")]
 _CUES = {
     "phone": re.compile(r"(?i)\b(tel|phone|call|mobile|cell|fax|contact|reach|dial|text me|whatsapp|telefon|téléphone|teléfono|appelez)\W*\w*\W*$"),
     "id": re.compile(r"(?i)\b(ssn|social security|tax id|passport|national id|id number|licen[cs]e no)\W*\w*\W*$"),
@@ -101,27 +104,29 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, in
     """What might be personal data beyond the base: more than is, and overlapping."""
     if "at" in text and ("(" in text or "[" in text):
         for m in _AT.finditer(text):
-            yield m.start(), m.end(), "mail"
+            lo = m.start()
+            while lo > 0 and text[lo - 1] in _NAME:
+                lo -= 1
+            if m.start() - lo >= 2:
+                yield lo, m.end(), "mail"
     if '"' in text or "'" in text:
         for m in _VALUE.finditer(text):
             yield m.start(1), m.end(1), "secret"
-    k = 0
-    while k < len(runs):
-        a, b = runs[k]
+    if runs:
+        for m in _TOKEN.finditer(text):
+            if _DIGITS.search(text, m.start(), m.end()):
+                yield m.start(), m.end(), "secret"
+    for k, (a, b) in enumerate(runs):
         if b - a == 3 and k + 2 < len(runs) and runs[k + 1][1] - runs[k + 1][0] == 2 and runs[k + 2][1] - runs[k + 2][0] == 4 and text[b : runs[k + 1][0]] == text[runs[k + 1][1] : runs[k + 2][0]] == "-":
             yield a, runs[k + 2][1], "ssn"
-        lo = a
-        while lo > 0 and a - lo < 512 and text[lo - 1].isascii() and (text[lo - 1].isalnum() or text[lo - 1] in "_+/=-"):
-            lo -= 1
-        if m := _TOKEN.match(text, lo):
-            yield m.start(), m.end(), "secret"
         j, n = k, b - a
-        while j + 1 < len(runs) and n < 20 and runs[j + 1][0] - runs[j][1] <= 2 and not text[runs[j][1] : runs[j + 1][0]].strip(" ().-/"):
+        while n <= 19:
+            if n >= 7:
+                yield a - (a > 0 and text[a - 1] in "(+"), runs[j][1], "number"
+            if j + 1 == len(runs) or runs[j + 1][0] - runs[j][1] > 2 or text[runs[j][1] : runs[j + 1][0]].strip(" ().-/"):
+                break
             j += 1
             n += runs[j][1] - runs[j][0]
-        if 7 <= n <= 19:
-            yield a - (a > 0 and text[a - 1] in "(+"), runs[j][1], "number"
-        k = j + 1 if 7 <= n <= 19 else k + 1
 
 
 def describe(text: str, a: int, b: int, kind: str) -> list[float]:
@@ -137,6 +142,7 @@ def describe(text: str, a: int, b: int, kind: str) -> list[float]:
         changes / max(1, len(s) - 1), len(set(s)) / max(1, len(s)), float(bool(re.fullmatch("[0-9a-f]+", s))), float(s.lower() != s and s.upper() != s), float(bool(re.search(r"\bdot\b|\.", s))),
         *(float(bool(c.search(before))) for c in _CUES.values()), float(before[-1:] in "\"'"), float(after[:1] in "\"'"), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(bool(re.search(r"[$€£#]\s?$", before))),
         float(digits[:2] in ("19", "20")) if len(digits) <= 8 else 0.0,
+        *(float(bool(c.search(before))) for c in _BESIDE[:2]), *(float(bool(c.search(text[b : b + 4]))) for c in _BESIDE[2:]), groups[1] if len(groups) > 1 else 0, float(groups[:1] == [4] and digits[:2] in ("19", "20")),
     ]
 
 
@@ -157,7 +163,7 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, int, int, str]], np.nda
             return kind, pick("call ", "phone: ", "tel. ", "Tel: ", "mobile ", "contact "), pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(3)} {digits(4)}")
         if kind == "ssn":
             return kind, pick("ssn ", "SSN: ", "social security ", "", f"{word()} "), f"{digits(3)}-{digits(2)}-{digits(4)}"
-        return kind, pick('token = "', 'secret = "', 'api_key: "', "password='", 'access_key = "', "Bearer "), pick(chars(40, hexa), chars(32, hexa), chars(int(r.integers(20, 44)), mixed))
+        return kind, pick('token = "', 'secret = "', 'api_key: "', "password='", 'access_key = "', "Bearer "), pick(chars(40, hexa), chars(32, hexa), chars(int(r.integers(20, 44)), mixed), chars(int(r.integers(20, 44)), mixed), chars(int(r.integers(44, 2500)), mixed))
 
     def look_alike() -> tuple[str, str, str]:
         kind = pick("mail", "number", "number", "ssn", "secret", "secret")
@@ -169,8 +175,29 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, int, int, str]], np.nda
             return kind, pick("order ", "ref ", "ticket "), f"{digits(3)}-{digits(2)}-{digits(4)}"
         return kind, pick("commit ", "sha ", "checksum ", "md5: ", f"{word()} ", 'title = "', 'name: "', "build "), pick(chars(40, hexa), chars(32, hexa), "-".join(word() for _ in range(5)) + digits(1), word() + word() + word() + digits(2), digits(24))
 
+    def phone() -> str:
+        return pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(3)} {digits(4)}")
+
+    def beside() -> tuple[str, list[tuple[int, int]]]:
+        """Numbers in a row, or after a date, and where they are."""
+        text, at = " ".join(word() for _ in range(3)) + " " + pick("", "call ", "phone: ", "tel. "), []
+        if pick(True, False):
+            text += pick(f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/20{digits(2)}") + " "
+        for _ in range(pick(1, 2, 2, 3)):
+            s = phone()
+            at.append((len(text), len(text) + len(s)))
+            text += s + " "
+        return text + word(), at
+
     rows, labels = [], []
     for i in range(n):
+        if i % 8 > 5:
+            text, at = beside()
+            of = [(a, b) for a, b, kind in candidates(text, [m.span() for m in _DIGITS.finditer(text)]) if kind == "number" and ((a, b) in at) == bool(i % 2)]
+            if of:
+                rows.append((text, *pick(*of), "number"))
+                labels.append(i % 2)
+                continue
         kind, before, s = true_form() if i % 2 else look_alike()
         text = " ".join(word() for _ in range(3)) + " " + before
         a = len(text)
@@ -203,13 +230,17 @@ def find(text: str | None, trees: Boosted, limits: np.ndarray) -> tuple[list, li
         return [], []
     runs = [m.span() for m in _DIGITS.finditer(text)]
     base = base_spans(text, runs)
-    proposed = [c for c in dict.fromkeys(candidates(text, runs)) if not any(c[0] < b and a < c[1] for a, b, _ in base)] if runs or '"' in text or "'" in text or "(" in text or "[" in text else []
+    taken = bytearray(len(text))
+    for a, b, _ in base:
+        taken[a:b] = b"\1" * (b - a)
+    proposed = [c for c in dict.fromkeys(candidates(text, runs)) if taken.find(1, c[0], c[1]) < 0] if runs or '"' in text or "'" in text or "(" in text or "[" in text else []
     added: list[tuple[int, int, str]] = []
     if proposed:
         chance = trees.chance(np.array([describe(text, *c) for c in proposed]))
         for i in sorted(range(len(proposed)), key=lambda i: (-chance[i], proposed[i])):
             a, b, kind = proposed[i]
-            if chance[i] >= limits[ADDED.index(kind)] and not any(a < y and x < b for x, y, _ in added):
+            if chance[i] >= limits[ADDED.index(kind)] and taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
                 added.append(proposed[i])
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
