@@ -15,6 +15,8 @@ NUMBERED = rf"(?i)^\s*({KINDS})\s+(\d+)\b"
 REFERENCE = rf"(?i)\b({KINDS})s?\s+(\d+(?:\s*(?:,|y|e|o)\s*\d+)*)"
 PREVIOUS = rf"(?i)\b(?:la|el)\s+({KINDS})\s+(?:anterior|previa|previo)\b"
 PREAMBLE = "preambulo"
+#: Rounds of label propagation in which all nodes change at once, and labels jump along chains.
+JUMPS = 32
 
 
 def identify(sections: DataFrame, doc: str) -> DataFrame:
@@ -112,20 +114,34 @@ def entity_context(mentioned: DataFrame, relations: DataFrame, cap: int = SETTIN
     return every.withColumn("place", place).filter(F.col("place") <= cap)
 
 
-def communities(edges: DataFrame, rounds: int = 10, least: int = SETTINGS.community_min_size) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 1000, least: int = SETTINGS.community_min_size) -> DataFrame:
     """node, community: label propagation over the undirected edges, communities of ``least`` nodes or more.
 
     In each round a node takes the label that most of its neighbours (and itself) have, the least of equals.  Rounds are
-    written to the shared folder and end when no label changes.
+    written to the shared folder and end when no label changes; if labels still change after ``rounds``, that is an error.
+    On chains, where a label would go one node a round, a node of at most two neighbours that shares no label takes the
+    label that its own label's node has by now, if smaller: labels go twice as far each round.  After JUMPS such rounds
+    only nodes that come before all their neighbours that would change do change; so each round gains equal neighbours or
+    lowers labels, and two sides cannot swap labels for ever.
     """
     both = saved(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct(), "sides")
-    labels = saved(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node"), "labels")
-    for _ in range(rounds):
+    start = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label"), (F.count(F.lit(1)) <= 2).alias("thin"))
+    labels = saved(start.withColumnRenamed("src", "node"), "labels")
+    for r in range(rounds):
         votes = both.join(labels, both["dst"] == labels["node"]).select(F.col("src").alias("node"), "label").unionByName(labels.select("node", "label"))
-        best = votes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
-        new = saved(best, "labels")
-        if not new.join(labels, ["node", "label"], "left_anti").take(1):
-            break
-        labels = new
-    size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
-    return labels.join(size, "label").select("node", F.col("label").alias("community"), "size")
+        best = votes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("best"), F.max("n").alias("n"))
+        new = saved(labels.join(best, "node"), "votes")
+        moving = new.filter("best <> label").select("node")
+        if not moving.take(1):
+            size = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
+            return labels.join(size, "label").select("node", F.col("label").alias("community"), "size")
+        if r < JUMPS:
+            of = new.filter("thin").select(F.col("node").alias("of"), F.col("best").alias("far"))
+            far = new.join(of, new["best"] == of["of"], "left")
+            label = F.when(F.col("thin") & (F.col("n") == 1) & (F.col("far") < F.col("best")), F.col("far")).otherwise(F.col("best"))
+            labels = saved(far.select("node", label.alias("label"), "thin"), "labels")
+        else:
+            blocked = both.join(moving.withColumnRenamed("node", "src"), "src").join(moving.withColumnRenamed("node", "dst"), "dst").filter("dst < src").select(F.col("src").alias("node")).distinct()
+            turn = moving.join(blocked, "node", "left_anti").withColumn("turn", F.lit(True))
+            labels = saved(new.join(turn, "node", "left").select("node", F.when(F.col("turn"), F.col("best")).otherwise(F.col("label")).alias("label"), "thin"), "labels")
+    raise ValueError(f"labels still change after {rounds} rounds")
