@@ -142,10 +142,12 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         tok = word_ids(tokenizer)
         for b in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), tok.of([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += end
-                n = len(ids) // 4
-                rows += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+            ids, ends = tok.batch(b.column(1))
+            for doc, a, e in zip(b.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+                n = e - a + 1  # with END
+                for s in range(0, n, window):
+                    crc = zlib.crc32(ids[a + s : min(a + s + window, e)])
+                    rows.append((doc, s, min(window, n - s), zlib.crc32(end, crc) if s + window >= n else crc, n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
