@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.sources.scratch import saved, scratch
 from corvane.sources.tables import table
 
-__all__ = ["WHITE", "bounded_batches", "gapless", "partitions", "saved", "scratch", "sha256_text", "table"]
+__all__ = ["WHITE", "bounded_batches", "fresh", "gapless", "partitions", "saved", "scratch", "sha256_text", "table"]
 
 #: The white space of every contract here: space and \x09 to \x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -24,6 +24,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever its columns are called."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def gapless(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_task: int = 50_000) -> DataFrame:
     """Adds ``out``: a number from 0 without gaps within each group, with no group ever held by one task.
 
