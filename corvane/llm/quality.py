@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WHITE, saved
+from corvane.llm.common import WHITE, fresh, saved
 
 RULES = 8
 #: The posterior from which a document is kept.  Losing a good document costs far more than keeping a bad one, so a
@@ -28,12 +28,6 @@ PRIOR_VOTES = {"bad": (0.25, 0.15, 0.60), "good": (0.003, 0.1, 0.897)}
 PRIOR_ROWS, PRIOR_GOOD, EM_ROUNDS = 20.0, 0.8, 60
 
 
-def _gone(c: Column, chars: str) -> Column:
-    for x in chars:
-        c = F.replace(c, F.lit(x), F.lit(""))
-    return c
-
-
 def features(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and the counts of every whole text that the rules read.
 
@@ -47,9 +41,9 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     df = df.select(
         *keep,
         F.size("_words").cast("long").alias("n_words"),
-        F.length(_gone(F.col("_trim"), WHITE)).cast("long").alias("word_chars"),
-        (F.length("_trim") - F.length(_gone(F.col("_trim"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
-        (F.length("_trim") - F.length(_gone(F.col("_trim"), "!?"))).cast("long").alias("n_marks"),
+        F.length(F.translate("_trim", WHITE, "")).cast("long").alias("word_chars"),
+        (F.length("_trim") - F.length(F.translate("_trim", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("_trim") - F.length(F.translate("_trim", "!?", ""))).cast("long").alias("n_marks"),
         F.length(F.regexp_replace("_trim", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("_trim", r"\P{L}+", "")).cast("long").alias("n_letters"),
         lines.alias("_lines"),
@@ -146,8 +140,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Verdicts are found by doc_id and text hash, nulls included, so repeated ids with different texts are told apart.
     """
-    key = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__x"), "text")
-    found = saved(features(key, "__id", "__x"), "quality")
-    good = found.filter(~base_failed() & (posterior(found) >= KEEP_FROM)).select("__id", "__x").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("__x"))
+    of, x = fresh(docs, "of", "x")
+    key = docs.select(F.col("doc_id").alias(of), F.coalesce(F.xxhash64("text"), F.lit(0)).alias(x), "text")
+    found = saved(features(key, of, x), "quality")
+    good = found.filter(~base_failed() & (posterior(found) >= KEEP_FROM)).select(of, x).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(x))
     return docs.join(good, same, "left_semi")
