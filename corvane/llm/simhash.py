@@ -1,7 +1,8 @@
 """SimHash near-dedup with pivot distance tables.
 
 Fingerprints are made per document in Python workers (xxhash and numpy).  Only distinct fingerprints are compared.  For
-each the table holds its Hamming distances to reference fingerprints (pivots), whole and within blocks of bits:
+each a table written once holds its Hamming distances to reference fingerprints (pivots); it also stands for distances
+within blocks of bits:
 
 * A reference that differs from another only within a block gives, by the difference of the two distances, the distance
   within that block.  Two fingerprints that differ in at most RADIUS bits differ in no bit of at least
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, partitions, saved
+from corvane.llm.common import bounded_batches, fresh, partitions, saved
 
 BITS, SEED = 64, 42
 #: Rows of one key that one task compares; a block of a larger key.
 HOT = 4096
+#: Rows of one fingerprint from which they are not brought together, and how many such fingerprints may be broadcast.
+HOT_ROWS, HOT_PRINTS = 1000, 1_000_000
 #: Whole reference fingerprints, by a fixed seed.
 PIVOTS = np.random.default_rng(20).integers(0, 2**64, size=24, dtype=np.uint64)
 
@@ -107,6 +110,25 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.stack([_ones(fps ^ p).astype(np.int8) for p in PIVOTS])
 
 
+def with_distances(fps: DataFrame) -> DataFrame:
+    """fp and ``d``, its distances to the pivots, one byte each: computed here, once, for each distinct fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _as_column(pivot_table(b.column(0).to_numpy().view(np.uint64)))], ["fp", "d"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, d binary")
+
+
+def _as_column(table: np.ndarray) -> pa.Array:
+    n = table.shape[1]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * len(PIVOTS), len(PIVOTS), dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(table.T))])
+
+
+def _as_table(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, len(PIVOTS)).T
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of n rows that a pair joins to a smaller one, the smallest row of its component."""
     label = np.arange(n)
@@ -122,15 +144,14 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, label[rows]
 
 
-def _within(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _within(fps: np.ndarray, table: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the near pairs within each run of rows, the runs beginning at ``starts``.
 
     Rows at distance 1, 2, ... within their run are compared step by step, so no list of pairs is ever held whole.
     """
     n, ends = len(fps), np.append(starts[1:], len(fps))
     end = np.repeat(ends, ends - starts)
-    table, label = pivot_table(fps), np.arange(n)
-    rows = np.arange(n)
+    label, rows = np.arange(n), np.arange(n)
     for step in range(1, int((ends - starts).max(initial=0))):
         rows = rows[rows + step < end[rows]]
         if not len(rows):
@@ -154,10 +175,9 @@ def rows_of(label: np.ndarray) -> np.ndarray:
     return np.flatnonzero(label != np.arange(len(label)))
 
 
-def _across(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join near fingerprints of two blocks of bounded size: a spanning forest."""
-    both = np.concatenate([a, b])
-    table, left, right = pivot_table(both), [], []
+def _across(both: np.ndarray, table: np.ndarray, first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join near fingerprints of two blocks of bounded size, the first ``first`` rows and the rest: a forest."""
+    a, b, left, right = both[:first], both[first:], [], []
     for i in range(len(a)):
         j = np.arange(len(a), len(both))
         near = j[_links(np.broadcast_to(both[i], len(b)), b, table[:, i : i + 1], table[:, j], radius)]
@@ -168,20 +188,19 @@ def _across(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
 
 
 def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k, fp), sorted by k: edges (u, v), or the rows of a key above HOT as (u=fp, k, block)."""
+    """Rows (k, fp, d), sorted by k: edges (u, v), or the rows of a key above HOT as (u=fp, d, k, block)."""
 
-    def out(u, v, k=None, block=None) -> pa.RecordBatch:
-        n = len(u)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(u.view(np.int64)), pa.array(v.view(np.int64)) if v is not None else pa.nulls(n, pa.int64()), pa.array(k) if k is not None else pa.nulls(n, pa.int64()), pa.array(block) if block is not None else pa.nulls(n, pa.int64())],
-            ["u", "v", "k", "block"],
-        )
+    def out(u, v=None, d=None, k=None, block=None) -> pa.RecordBatch:
+        none = pa.nulls(len(u), pa.int64())
+        whole = lambda x: none if x is None else pa.array(x.view(np.int64))
+        return pa.RecordBatch.from_arrays([whole(u), whole(v), whole(k), whole(block), pa.nulls(len(u), pa.binary()) if d is None else _as_column(d)], ["u", "v", "k", "block", "d"])
 
-    keys, fps, done, hot_key = np.empty(0, np.int64), np.empty(0, np.uint64), 0, None
+    keys, fps, table, done, hot_key = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((len(PIVOTS), 0), np.int8), 0, None
     for b in _with_end(batches):
         if b is not None:
             keys = np.concatenate([keys, b.column(0).to_numpy()])
             fps = np.concatenate([fps, b.column(1).to_numpy().view(np.uint64)])
+            table = np.concatenate([table, _as_table(b.column(2))], axis=1)
         while len(keys):
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             last = starts[-1] if b is not None else len(keys)  # the last key may go on
@@ -197,15 +216,15 @@ def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
                 many = np.repeat(np.diff(np.append(inside, stop)) > 1, np.diff(np.append(inside, stop)))
                 k, f = keys[:stop][many], fps[:stop][many]
                 if len(k):
-                    u, v = _within(f, np.flatnonzero(np.append(True, k[1:] != k[:-1])), radius)
+                    u, v = _within(f, table[:, :stop][:, many], np.flatnonzero(np.append(True, k[1:] != k[:-1])), radius)
                     if len(u):
                         yield out(u, v)
-                keys, fps = keys[stop:], fps[stop:]
+                keys, fps, table = keys[stop:], fps[stop:], table[:, stop:]
             else:  # a hot key: its rows go out in blocks as they come
                 n, hot_key = int(sizes[0]), keys[0]
-                yield out(fps[:n], None, keys[:n], (done + np.arange(n)) // HOT)
+                yield out(fps[:n], None, table[:, :n], keys[:n], (done + np.arange(n)) // HOT)
                 done += n
-                keys, fps = keys[n:], fps[n:]
+                keys, fps, table = keys[n:], fps[n:], table[:, n:]
         if b is None:
             return
 
@@ -218,23 +237,24 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def near_edges(fps: DataFrame, radius: int, agree: int) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints within ``radius`` bits, over any number of steps."""
     choices = masks(radius, agree)
-    keyed = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(choices)])).alias("k"))
-    keyed = keyed.select("k", "fp").repartition(partitions(fps.sparkSession), "k").sortWithinPartitions("k", "fp")
-    met = saved(keyed.mapInArrow(lambda b: _meet(b, radius), "u long, v long, k long, block long"), "edges")
+    keyed = saved(with_distances(fps), "distances").select("fp", "d", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(choices)])).alias("k"))
+    keyed = keyed.select("k", "fp", "d").repartition(partitions(fps.sparkSession), "k").sortWithinPartitions("k", "fp")
+    met = saved(keyed.mapInArrow(lambda b: _meet(b, radius), "u long, v long, k long, block long, d binary"), "edges")
     return met.filter(F.col("v").isNotNull()).select("u", "v").unionByName(_hot_edges(met, radius))
 
 
 def _hot_edges(met: DataFrame, radius: int) -> DataFrame:
     """The blocks of keys above HOT, each pair of blocks compared by a task of its own."""
-    rows = met.filter(F.col("block").isNotNull()).select(F.col("u").alias("fp"), "k", "block")
+    rows = met.filter(F.col("block").isNotNull()).select(F.col("u").alias("fp"), "d", "k", "block")
     ends = rows.groupBy("k").agg(F.max("block").alias("end"))
-    pairs = rows.join(ends, "k").select("fp", "k", "block", F.explode(F.sequence(F.lit(0).cast("long"), "end")).alias("other"))
-    pairs = pairs.select("fp", "k", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    pairs = rows.join(ends, "k").select("fp", "d", "k", "block", F.explode(F.sequence(F.lit(0).cast("long"), "end")).alias("other"))
+    pairs = pairs.select("fp", "d", "k", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
 
     def compare(t: pa.Table) -> pa.Table:
-        f, block = t["fp"].to_numpy().view(np.uint64), t["block"].to_numpy()
         a, b = t["a"][0].as_py(), t["b"][0].as_py()
-        u, v = _within(f, np.array([0]), radius) if a == b else _across(f[block == a], f[block == b], radius)
+        order = np.argsort(t["block"].to_numpy(), kind="stable")  # block a first
+        f, table = t["fp"].to_numpy().view(np.uint64)[order], _as_table(t["d"].combine_chunks())[:, order]
+        u, v = _within(f, table, np.array([0]), radius) if a == b else _across(f, table, int((t["block"].to_numpy() == a).sum()), radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return pairs.groupBy("k", "a", "b").applyInArrow(compare, "u long, v long")
@@ -266,7 +286,7 @@ def agreeing_blocks(n: int, radius: int) -> int:
     Every choice is exact; the number only sets how many keys a fingerprint has and how many others share one.
     """
     agree = 2
-    while agree < 4 and BITS * agree // (radius + agree) < max(17, math.log2(n + 1) - 1):
+    while BITS * agree // (radius + agree) < max(17, math.log2(n + 1) - 1):
         agree += 1
     return agree
 
@@ -274,23 +294,30 @@ def agreeing_blocks(n: int, radius: int) -> int:
 def groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable by links, for each row of ``docs``."""
     rows = saved(fingerprints(docs, words), "fingerprints")
-    reps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    reps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
     edges = near_edges(reps.select("fp"), radius, agreeing_blocks(reps.count(), radius))
-    found = components(edges)
-    joined = found.join(reps, found["node"] == reps["fp"]).select("fp", "root", "rep")
-    joined = joined.unionByName(found.select(F.col("root").alias("fp"), "root").distinct().join(reps, "fp").select("fp", "root", "rep"))
-    low = joined.groupBy("root").agg(F.min("rep").alias("low"))
-    moved = joined.join(low, "root").select("fp", "low")
-    named = reps.join(moved, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return named(rows.select("doc_id", "fp"), reps, components(edges))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def named(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id for ``rows`` (doc_id, fp), from ``reps`` (fp, rep, n) and components (node, root).
+
+    Rows of a fingerprint that more than HOT_ROWS share are not brought together: such fingerprints are at most one for
+    HOT_ROWS rows, and are broadcast if there are no more than HOT_PRINTS; beyond that Spark splits skewed partitions.
+    """
+    whole = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp").join(reps, "fp")
+    low = whole.groupBy("root").agg(F.min("rep").alias("low"))
+    moved = whole.join(low, "root").select("fp", "low")
+    names = saved(reps.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "rep").alias("component_id")), "names")
+    hot = names.filter(F.col("n") > HOT_ROWS).select("fp", "component_id")
+    if not 0 < hot.count() <= HOT_PRINTS:
+        return rows.join(names.drop("n"), "fp").select("doc_id", "fp", "component_id")
+    few = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(names.filter(F.col("n") <= HOT_ROWS).drop("n"), "fp")
+    return rows.join(F.broadcast(hot), "fp").unionByName(few).select("doc_id", "fp", "component_id")
 
 
-#: Of the stage before it verified shingles; tests read it.
-KEEP_RADIUS = 8
+def report(docs: DataFrame) -> DataFrame:
+    return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -301,5 +328,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     from corvane.llm import nearcopies
 
-    kept = nearcopies.groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    (of,) = fresh(docs, "of")
+    kept = nearcopies.groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
