@@ -116,7 +116,8 @@ def test_pipeline_equals_its_stages_one_by_one(spark):
     kept = {r["doc_id"] for r in packed}
     assert kept <= good and len(kept) > 0.6 * len(good)
     # plain versions of the stages after the rules
-    from tests.llm.test_ops import LOWER, WHITE, base, brute_components, brute_simhash
+    from tests.llm.test_nearcopies import roots
+    from tests.llm.test_ops import LOWER, WHITE, base
 
     held = {}
     for i in good:
@@ -125,8 +126,7 @@ def test_pipeline_equals_its_stages_one_by_one(spark):
                 held.setdefault(k, set()).add(i)
     drop = {k: max(v) for k, v in held.items() if len(v) >= 5}
     text = {i: "\n".join(x for x in docs[i].split("\n") if drop.get(x.strip(WHITE).translate(LOWER), i) == i) for i in good}
-    root = brute_components({i: brute_simhash(t) for i, t in text.items()}, simhash.KEEP_RADIUS)
-    assert kept == set(root.values())
+    assert kept == set(roots(text).values())  # five words, similarity 0.8 or more
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD)
