@@ -1,15 +1,37 @@
-"""Text as columns: words, folding, slugs, snippets, lines and sections.  All run in the JVM."""
+"""Text as columns: words, folding, slugs, snippets, lines and sections.  All but NFKC run in the JVM."""
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from collections.abc import Iterable
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.config import SETTINGS
 
-#: Letters with accents and what they fold to.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+
+
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition without combining marks makes of every character beyond ASCII.
+
+    Two strings for translate (characters that become one letter or digit, then combining marks, which go), and the
+    characters that become several.
+    """
+    one, gone, many = {}, [], {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        if unicodedata.combining(c):
+            gone.append(c)
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and re.search("[a-z0-9]", plain):
+            (one if len(plain) == 1 else many)[c] = plain
+    return "".join([*one, *gone]), "".join(one.values()), many
 
 
 def _col(c: Column | str) -> Column:
@@ -21,6 +43,33 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
+def _ranges(of: Iterable[str]) -> str:
+    """A character class of neighbouring characters as ranges."""
+    points, out = sorted(map(ord, of)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
+def compatible(text: pd.Series) -> pd.Series:
+    """NFKC, for PDF text: ligatures and full-width forms become plain letters."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column | str) -> Column:
+    """NFKC of a text; texts of ASCII alone, which it does not change, stay in the JVM."""
+    odd = F.when(~_col(text).rlike(r"^\p{ASCII}*$"), _col(text))
+    return F.coalesce(F.pandas_udf(compatible, "string")(odd), _col(text))
+
+
+def truncated(text: Column | str, most: int, mark: str = "") -> Column:
+    """The first ``most`` characters, with ``mark`` after them if any were cut."""
+    return F.when(F.length(_col(text)) > most, F.concat(F.substring(_col(text), 1, most), F.lit(mark))).otherwise(_col(text))
+
+
 def word_count(text: Column | str) -> Column:
     """White-space separated words; a lone mark counts."""
     return F.size(F.filter(F.split(F.trim(_col(text)), r"\s+"), lambda w: w != "")).cast("long")
@@ -28,7 +77,14 @@ def word_count(text: Column | str) -> Column:
 
 def fold(text: Column | str) -> Column:
     """Lower case without accents; everything else than a-z and 0-9 becomes one space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(_col(text)), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    matching, replace, many = _folds()
+    beyond = r"[^\x00-\x7F]"
+    low = F.lower(_col(text))
+    low = F.when(low.rlike(beyond), F.translate(low, matching, replace)).otherwise(low)
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    low = F.when(low.rlike(beyond) & low.rlike(_ranges(many)), spread).otherwise(low)  # few texts hold a character that becomes several
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
 def slug(text: Column | str) -> Column:

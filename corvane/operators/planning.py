@@ -41,14 +41,18 @@ def waves(tasks: DataFrame, deps: DataFrame, most: int = 1000) -> DataFrame:
     """task, wave: every task whose dependencies all stood in earlier waves joins the next one.
 
     tasks (task), deps (task, dep).  A round is one anti-join over what is left; tasks on a cycle are in no wave.
+    More than ``most`` waves are an error.
     """
     left = saved(tasks.select("task").distinct(), "left")
     open_deps = saved(deps.select("task", "dep").filter("task <> dep").distinct(), "deps")
-    found = None
-    for wave in range(most):
+    found, wave = None, 0
+    while True:
         ready = saved(left.join(open_deps, "task", "left_anti").withColumn("wave", F.lit(wave)), "ready")
         if not ready.take(1):
             break
+        if wave == most:
+            raise RuntimeError(f"tasks are left after {most} waves")
+        wave += 1
         found = ready if found is None else found.unionByName(ready)
         left = saved(left.join(ready, "task", "left_anti"), "left")
         open_deps = saved(open_deps.join(ready, open_deps["dep"] == ready["task"], "left_anti"), "deps")

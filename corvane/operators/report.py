@@ -71,17 +71,27 @@ def naive_verdict(returncode: Column) -> Column:
     return returncode == 0
 
 
-def _complete(source: str | None) -> bool:
-    s = (source or "").strip()
-    if len(s) < 10 or "ESCRIBE AQUÍ" in s:
-        return False
-    try:
-        return not any(isinstance(n, ast.Constant) and n.value is Ellipsis for n in ast.walk(ast.parse(s)))
-    except (SyntaxError, ValueError):
-        return "..." not in s
+@F.pandas_udf(T.BooleanType())
+def _filled(code: pd.Series) -> pd.Series:
+    """Whether code compiles and holds no ellipsis as a value."""
 
+    def of(source: str | None) -> bool:
+        try:
+            return not any(getattr(n, "value", None) is Ellipsis for n in ast.walk(ast.parse(source or "")))
+        except (SyntaxError, ValueError):
+            return False
 
-@F.pandas_udf(T.BooleanType())
-def cell_complete(source: pd.Series) -> pd.Series:
-    """Whether an editable cell has been filled in: no ellipsis, no marker, ten characters or more."""
-    return pd.Series([_complete(s) for s in source], dtype=bool)
+    return pd.Series([of(c) for c in code], dtype=bool)
+
+
+def cell_complete(source: Column, is_code: Column) -> Column:
+    """Whether an editable cell has been filled in.
+
+    Code must compile and hold no ellipsis; a text must not hold the marker, and must have ten characters or more after
+    its first blank line.
+    """
+    text = F.coalesce(source, F.lit(""))
+    gap = F.locate("\n\n", text)
+    rest = F.btrim(F.when(gap > 0, F.substring(text, gap + 2, F.length(text))).otherwise(text), F.lit(" \t\n\r\x0b\x0c"))
+    written = ~text.rlike("ESCRIBE AQU[IÍ]") & (F.length(rest) >= 10)
+    return F.when(is_code, _filled(F.when(is_code, text))).otherwise(written)

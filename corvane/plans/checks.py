@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import checks as C
@@ -59,21 +59,28 @@ def format_checks(s: SparkSession, d: str) -> DataFrame:
 
 
 def golden_checks(s: SparkSession, d: str) -> DataFrame:
-    """Documents as deliverables with one check of each kind that the tables can answer."""
+    """Documents as deliverables, with a figure (in a fence, behind a line break or in a line) and two headings added, and a
+    check of every kind."""
     docs = table(s, d, "documents")
+    k, figure = F.col("doc_id"), F.format_string("%.2f", F.col("n_chars") / 7)
+    total = F.when(k % 5 == 0, F.concat(F.lit(" ```total: "), figure, F.lit("```"))).when(k % 5 == 1, F.concat(F.lit("\ntotal:\n"), figure, F.lit("."))).otherwise(F.concat(F.lit(" total: "), figure, F.lit(".")))
+    heads = F.when(k % 7 == 1, "\n## 2. Conclusiones\n# Método\n").when(k % 7 == 2, "\n# Metodo\n").otherwise("\n# Método\nx\nConclusiones finales\n")
     texts = docs.select(
-        F.col("doc_id").alias("task"), F.when(F.col("doc_id") % 29 > 0, F.concat(F.col("text"), F.format_string(" total: %.2f.", F.col("n_chars") / 7))).alias("text"), (F.col("doc_id") % 3).alias("n_files"), (F.col("doc_id") % 12).alias("n_pages"),
-        (F.col("doc_id") % 4).alias("cells"), (F.col("doc_id") % 4 - (F.col("doc_id") % 8 == 7).cast("long")).alias("cells_run"), (F.col("doc_id") % 10 == 0).cast("long").alias("cell_errors"), (F.col("doc_id") % 100 / 100.0).alias("share"),
+        k.alias("task"), F.when(k % 29 > 0, F.concat("text", total, heads)).alias("text"), (k % 3).alias("n_files"), (k % 12).alias("n_pages"),
+        (k % 4).alias("cells"), (k % 4 - (k % 8 == 7).cast("long")).alias("cells_run"), (k % 10 == 0).cast("long").alias("cell_errors"), (k % 100 / 100.0).alias("share"),
+        (k % 6 > 0).alias("cells_intact"), (k % 9 > 0).alias("cells_complete"),
     )
     none = F.lit(None)
     kinds = [
         ("archivo", none, none, none), ("palabras_max", F.lit(300.0), none, none), ("paginas_max", F.lit(6.0), none, none), ("contiene", none, none, none), ("ipynb_ejecutado", none, none, none),
-        ("cifra", none, F.lit("total:"), F.col("n_chars") / 7), ("cifra_presente", none, none, F.col("n_chars") / 7 + 1), ("procedencia", none, none, none), ("otro", none, none, none),
+        ("cifra", none, F.lit("total:"), F.col("n_chars") / 7 + k % 3 * 0.004), ("cifra_presente", none, none, F.col("n_chars") / 7 + k % 2 * 1000.37), ("procedencia", none, none, none),
+        ("secciones", none, none, none), ("celdas_intactas", none, none, none), ("celdas_completas", none, none, none), ("otro", none, none, none),
     ]
-    words = F.array(F.element_at(F.split("lang", ""), 1), F.lit("de"))
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("double").alias("value"), lab.cast("string").alias("label"), t.cast("double").alias("truth")) for k, v, lab, t in kinds])
-    checks = docs.select(F.col("doc_id").alias("task"), words.alias("words"), F.posexplode(rows).alias("check", "c")).select("task", "check", "c.kind", "words", "c.value", "c.label", "c.truth", F.lit(None).cast("double").alias("tolerance"))
-    return C.run_checks(checks, texts).filter("kind <> 'contiene'").select("task", "kind", "ok")
+    rows = F.array(*[F.struct(F.lit(x).alias("kind"), v.cast("double").alias("value"), lab.cast("string").alias("label"), t.cast("double").alias("truth")) for x, v, lab, t in kinds])
+    checks = docs.select(k.alias("task"), "lang", F.posexplode(rows).alias("check", "c"))
+    words = F.when(F.col("c.kind") == "secciones", F.array(F.lit("Metodo"), F.lit("Conclusiones"))).otherwise(F.array(F.substring("lang", 1, 1), F.lit("de")))
+    checks = checks.select("task", "check", "c.kind", words.alias("words"), F.lit(True).alias("in_order"), "c.value", "c.label", "c.truth", F.lit(None).cast("double").alias("tolerance"))
+    return C.run_checks(checks, texts).select("task", "kind", "ok")
 
 
 def golden_summary(s: SparkSession, d: str) -> DataFrame:
@@ -81,36 +88,37 @@ def golden_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def contains_words(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").select("doc_id", "text", F.slice(F.split(F.regexp_replace("text", r"[^A-Za-z ]", "#"), " "), 2, 2).alias("w"))
-    docs = docs.filter(F.forall("w", lambda x: x.rlike("^[A-Za-z]+$")))
+    """For every document: do its second and third word stand in it alone, with word borders around them as written?"""
+    docs = table(s, d, "documents").select("doc_id", "text", F.filter(F.slice(F.split("text", " "), 2, 2), lambda w: w != "").alias("w"))
     return docs.select("doc_id", C.contains_all(F.col("text"), F.col("w")).alias("own"), C.contains_all(F.col("text"), F.array(F.lit("zzzz"))).alias("other"))
 
 
-_SCRIPTS = [
-    "import numpy as np\nprint(np.pi)\n",
-    "import socket\nsocket.socket()\n",
-    "import os\nos.system('ls')\n",
-    "open('/etc/passwd')\n",
-    "from sklearn.datasets import fetch_openml\nX = fetch_openml('a')\n",
-    "m.fit(X, y)\nm.predict(X)\n",
-    "S = scaler.fit_transform(X)\nA, B = train_test_split(S)\n",
-    "def f(:\n",
-]
+def _statements(s: SparkSession, d: str, *of: Column) -> DataFrame:
+    """A script for each order: a statement for each of its line items, one of ``of`` by the quantity."""
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("l"))  # the items of one order
 
+    def statement(x: Column) -> Column:
+        var = lambda k: F.concat(F.lit("V"), (x[k] % 3).cast("string"))
+        out = F.lit("pass")
+        for i, c in enumerate(of):
+            out = F.when(x["l_quantity"].cast("long") % len(of) == i, F.replace(F.replace(c, F.lit("$1"), var("l_suppkey")), F.lit("$2"), var("l_partkey"))).otherwise(out)
+        return out
 
-def _scripts(s: SparkSession, d: str) -> DataFrame:
-    """A script for each part, by its key, with its name in a comment."""
-    body = F.get(F.array(*map(F.lit, _SCRIPTS)), (F.col("p_partkey") % len(_SCRIPTS)).cast("int"))
-    return table(s, d, "part").select("p_partkey", F.concat(body, F.lit("# "), "p_name").alias("code"))
+    return lines.select("l_orderkey", F.array_join(F.transform("l", statement), "\n").alias("code"))
 
 
 def guard_scripts(s: SparkSession, d: str) -> DataFrame:
-    g = _scripts(s, d).select("p_partkey", P.guard("code").alias("g"))
-    return g.select("p_partkey", "g.allowed", "g.needs_network", F.array_join("g.problems", ",").alias("problems"), F.array_join("g.downloads", ",").alias("downloads"))
+    """Scripts of imports, paths, separators, downloads and calls."""
+    of = ("import socket", "open('/etc/my file')", "print($1, '//', ' / ')", "fetch_openml('a')", "eval('1')", "open(\"../$2\")", "$1 = 1", "open('a.csv')")
+    g = _statements(s, d, *map(F.lit, of)).select("l_orderkey", P.guard("code").alias("g"))
+    return g.select("l_orderkey", "g.allowed", "g.needs_network", F.array_join("g.problems", ",").alias("problems"), F.array_join("g.downloads", ",").alias("downloads"))
 
 
 def leakage_scripts(s: SparkSession, d: str) -> DataFrame:
-    return _scripts(s, d).select("p_partkey", F.array_join(P.leakage("code"), ",").alias("leaks"))
+    """Scripts that fit on, predict on, transform and split three variables."""
+    of = ("m.fit($1, y)", "m.predict($1)", "$2 = sc.fit_transform($1)", "A, B = train_test_split($1)", "z = m.score($1, y)", "print($1)")
+    return P.leaks(_statements(s, d, *map(F.lit, of)), "l_orderkey").select("l_orderkey", F.col("line").cast("int").alias("line"), "kind", "data")
 
 
 def cells_intact(s: SparkSession, d: str) -> DataFrame:
@@ -131,15 +139,30 @@ _FORMS = """m AS (SELECT DISTINCT l_extendedprice AS v FROM lineitem UNION SELEC
     UNION ALL SELECT o_orderkey, 1, 1, round((o_orderkey % 9973) / 100.0::DOUBLE, 2) / 100, 4, printf('%.2f %%', (o_orderkey % 9973) / 100.0::DOUBLE) FROM orders),
   w AS (SELECT DISTINCT v, d FROM f),
   near AS (SELECT w.v, w.d FROM w WHERE EXISTS (SELECT 1 FROM m WHERE m.v BETWEEN w.v - pow(10, -d) AND w.v + pow(10, -d) AND abs(m.v - w.v) <= 0.5::DOUBLE * pow(10, -d) + 1e-12 * abs(w.v)))"""
-_D = "d AS (SELECT doc_id, CASE WHEN doc_id % 29 > 0 THEN text || printf(' total: %.2f.', n_chars / 7::DOUBLE) END AS text, n_chars FROM documents)"
+_LINES = """t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS line,
+        CAST(l_quantity AS BIGINT) % {n} AS o, 'V' || l_suppkey % 3 AS a, 'V' || l_partkey % 3 AS b FROM lineitem)"""
+_WORD = r"\p{L}\p{M}\p{N}\p{Pc}"
+#: Whether word w stands alone in text t: a border of words at either end of w.
+_ALONE = (
+    rf"regexp_matches(t, CASE WHEN regexp_matches(w, '^[{_WORD}]') THEN '(^|[^{_WORD}])' ELSE '[{_WORD}]' END || regexp_escape(w) "
+    rf"|| CASE WHEN regexp_matches(w, '[{_WORD}]$') THEN '($|[^{_WORD}])' ELSE '[{_WORD}]' END)"
+)
+_D = """d AS (SELECT doc_id, lang, n_chars, CASE WHEN doc_id % 29 > 0 THEN text || CASE doc_id % 5 WHEN 0 THEN printf(' ```total: %.2f```', n_chars / 7::DOUBLE) WHEN 1 THEN printf(chr(10) || 'total:' || chr(10) || '%.2f.', n_chars / 7::DOUBLE) ELSE printf(' total: %.2f.', n_chars / 7::DOUBLE) END
+      || CASE doc_id % 7 WHEN 1 THEN chr(10) || '## 2. Conclusiones' || chr(10) || '# Método' || chr(10) WHEN 2 THEN chr(10) || '# Metodo' || chr(10) ELSE chr(10) || '# Método' || chr(10) || 'x' || chr(10) || 'Conclusiones finales' || chr(10) END END AS text FROM documents),
+  p AS (SELECT *, trim(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM d)"""
+_NEAR = "len(list_filter(regexp_extract_all(plain, '{rule}', 1), lambda x: abs(CAST(x AS DOUBLE) - (n_chars / 7::DOUBLE + {off})) <= 0.005::DOUBLE + 1e-12::DOUBLE * abs(n_chars / 7::DOUBLE + {off}))) > 0"
 _GOLD = f"""WITH {_D} SELECT doc_id AS task, 'archivo' AS kind, text IS NOT NULL AND doc_id % 3 >= 1 AS ok FROM d
-  UNION ALL SELECT doc_id, 'palabras_max', text IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 300 FROM d
+  UNION ALL SELECT doc_id, 'palabras_max', text IS NOT NULL AND len(list_filter(string_split(plain, ' '), lambda x: x <> '')) <= 300 FROM p
   UNION ALL SELECT doc_id, 'paginas_max', text IS NOT NULL AND doc_id % 12 <= 6 FROM d
+  UNION ALL SELECT doc_id, 'contiene', text IS NOT NULL AND {_ALONE.replace('(t,', '(text,').replace('(w', '(substr(lang, 1, 1)')} AND {_ALONE.replace('(t,', '(text,').replace('(w', "('de'")} FROM d
   UNION ALL SELECT doc_id, 'ipynb_ejecutado', text IS NOT NULL AND doc_id % 4 >= 1 AND doc_id % 8 <> 7 AND doc_id % 10 <> 0 FROM d
-  UNION ALL SELECT doc_id, 'cifra', text IS NOT NULL FROM d
+  UNION ALL SELECT doc_id, 'cifra', text IS NOT NULL AND {_NEAR.format(rule="total: ([0-9]+[.][0-9][0-9])", off="doc_id % 3 * 0.004::DOUBLE")} FROM p
+  UNION ALL SELECT doc_id, 'cifra_presente', text IS NOT NULL AND {_NEAR.format(rule="([0-9]+[.][0-9][0-9])", off="doc_id % 2 * 1000.37::DOUBLE")} FROM p
   UNION ALL SELECT doc_id, 'procedencia', text IS NOT NULL AND doc_id % 100 / 100.0::DOUBLE >= 0.85::DOUBLE FROM d
-  UNION ALL SELECT doc_id, 'otro', FALSE FROM d
-  UNION ALL SELECT doc_id, 'cifra_presente', FALSE FROM d"""
+  UNION ALL SELECT doc_id, 'secciones', text IS NOT NULL AND doc_id % 7 NOT IN (1, 2) FROM d
+  UNION ALL SELECT doc_id, 'celdas_intactas', text IS NOT NULL AND doc_id % 6 > 0 FROM d
+  UNION ALL SELECT doc_id, 'celdas_completas', text IS NOT NULL AND doc_id % 9 > 0 FROM d
+  UNION ALL SELECT doc_id, 'otro', FALSE FROM d"""
 SQL = {
     "provenance_solver": f"""WITH {_FORMS}, ok AS (SELECT DISTINCT id, seq FROM f JOIN near USING (v, d) UNION SELECT DISTINCT id, seq FROM f JOIN given USING (v))
       SELECT f.id, raw, CAST(min(f.seq) AS INTEGER) AS seq FROM f LEFT JOIN ok ON ok.id = f.id AND ok.seq = f.seq WHERE ok.id IS NULL GROUP BY f.id, raw""",
@@ -154,12 +177,18 @@ SQL = {
       SELECT id, problems = '' AS passed, problems FROM r""",
     "golden_checks": _GOLD,
     "golden_summary": f"SELECT kind, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS passed, count(*) AS total FROM ({_GOLD}) GROUP BY kind",
-    "contains_words": r"""WITH w AS (SELECT doc_id, (string_split(regexp_replace(text, '[^A-Za-z ]', '#', 'g'), ' '))[2:3] AS w FROM documents)
-      SELECT doc_id, TRUE AS own, FALSE AS other FROM w WHERE len(list_filter(w, lambda x: NOT regexp_full_match(x, '[A-Za-z]+'))) = 0""",
-    "guard_scripts": """SELECT p_partkey, p_partkey % 8 IN (0, 4, 5, 6) AS allowed, p_partkey % 8 = 4 AS needs_network,
-      CASE p_partkey % 8 WHEN 1 THEN '1:import socket' WHEN 2 THEN '2:attribute system' WHEN 3 THEN '1:path /etc/passwd' WHEN 7 THEN 'syntax' ELSE '' END AS problems,
-      CASE p_partkey % 8 WHEN 4 THEN '1:fetch_openml,2:fetch_openml' ELSE '' END AS downloads FROM part""",
-    "leakage_scripts": "SELECT p_partkey, CASE p_partkey % 8 WHEN 5 THEN '2:predicts_on_fitted:X' WHEN 6 THEN '1:fitted_before_split:X' ELSE '' END AS leaks FROM part",
+    "contains_words": f"""WITH w AS (SELECT doc_id, text AS t, list_filter((string_split(text, ' '))[2:3], lambda x: x <> '') AS ws FROM documents),
+      u AS (SELECT doc_id, t, unnest(ws) AS w FROM w), o AS (SELECT doc_id, bool_and({_ALONE}) AS own FROM u GROUP BY 1)
+      SELECT w.doc_id, CASE WHEN t IS NOT NULL THEN coalesce(own, TRUE) END AS own, regexp_matches(t, '(^|[^{_WORD}])zzzz($|[^{_WORD}])') AS other FROM w LEFT JOIN o USING (doc_id)""",
+    "guard_scripts": f"""WITH {_LINES.format(n=8)}, p AS (SELECT k, CASE o WHEN 0 THEN line || ':import socket' WHEN 1 THEN line || ':path /etc/my file' WHEN 4 THEN line || ':call eval' WHEN 5 THEN line || ':path ../' || b END AS problem,
+        CASE o WHEN 3 THEN line || ':fetch_openml' END AS download FROM t),
+      g AS (SELECT k, list_sort(list_distinct(list(problem) FILTER (problem IS NOT NULL))) AS p, list_sort(list_distinct(list(download) FILTER (download IS NOT NULL))) AS w FROM p GROUP BY k)
+      SELECT k AS l_orderkey, coalesce(len(p), 0) = 0 AS allowed, coalesce(len(w), 0) > 0 AS needs_network, coalesce(array_to_string(p, ','), '') AS problems, coalesce(array_to_string(w, ','), '') AS downloads FROM g""",
+    "leakage_scripts": f"""WITH {_LINES.format(n=6)}, f AS (SELECT k, a AS v, min(line) AS first FROM t WHERE o IN (0, 2) GROUP BY 1, 2),
+      d AS (SELECT k, b AS v, arg_max(a, line) AS of FROM t WHERE o = 2 GROUP BY 1, 2),
+      s AS (SELECT t.k, t.line, a AS v, coalesce(d.of, a) AS of FROM t LEFT JOIN d ON d.k = t.k AND d.v = t.a WHERE o = 3)
+      SELECT t.k AS l_orderkey, CAST(t.line AS INTEGER) AS line, 'predicts_on_fitted' AS kind, a AS data FROM t JOIN f ON f.k = t.k AND f.v = t.a WHERE o IN (1, 4)
+      UNION SELECT s.k, CAST(coalesce(x.first, y.first) AS INTEGER), 'fitted_before_split', s.of FROM s LEFT JOIN f x ON x.k = s.k AND x.v = s.v LEFT JOIN f y ON y.k = s.k AND y.v = s.of WHERE coalesce(x.first, y.first) < s.line""",
     "cells_intact": """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
       SELECT conv_id, NOT (conv_id % 9 = 0 OR conv_id % 14 = 0) AS intact FROM c""",
 }

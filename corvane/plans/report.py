@@ -29,7 +29,7 @@ def fallback_report(s: SparkSession, d: str) -> DataFrame:
 def fact_coverage(s: SparkSession, d: str) -> DataFrame:
     """For each document: do the second and fifth word of the next one stand in it?"""
     docs = table(s, d, "documents").select("doc_id", "text")
-    facts = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.explode(F.array(F.element_at(F.split("text", " "), 2), F.try_element_at(F.split("text", " "), F.lit(5)))).alias("fact")).filter("fact is not null and fact <> ''")
+    facts = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.explode(F.array(F.get(F.split("text", " "), 1), F.get(F.split("text", " "), 4))).alias("fact")).filter("fact is not null and fact <> ''")
     return R.fact_coverage(docs, facts.join(docs.select("doc_id"), "doc_id", "left_semi"), "doc_id")
 
 
@@ -47,11 +47,16 @@ def routing(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", nxt.alias("next"), R.naive_verdict(F.col("user_id") % 3).alias("naive"))
 
 
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    """Cells written from parts: code by its size (an ellipsis, one in a text, a syntax error, or none), and text by its name."""
+    k, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    code = F.when(size % 4 == 0, F.concat(F.lit("x = "), size.cast("string"))).when(size % 4 == 1, F.lit("def f(x):\n    ...")).when(size % 4 == 2, F.concat(F.lit("s = '... "), size.cast("string"), F.lit("'"))).otherwise(F.lit("def f(:"))
+    text = F.when(size % 5 == 0, F.concat(F.lit("**ESCRIBE AQUÍ** "), name)).otherwise(F.concat(F.lit("Titulo\n\n"), F.substring(name, 1, 14), F.lit("  ")))
+    return table(s, d, "part").select("p_partkey", (k % 3 > 0).alias("is_code"), F.when(k % 3 > 0, code).otherwise(text).alias("source"))
+
+
 def cells_complete(s: SparkSession, d: str) -> DataFrame:
-    """A cell for each part, by its key: filled in, elliptic, marked or too short."""
-    cells = ["total = sum(values)", "def f(x):\n    ...", "# ESCRIBE AQUÍ\nx = compute()", "x = 1", "text = 'wait ... for it'"]
-    body = F.get(F.array(*map(F.lit, cells)), (F.col("p_partkey") % len(cells)).cast("int"))
-    return table(s, d, "part").select("p_partkey", R.cell_complete(body).alias("complete"))
+    return _cells(s, d).select("p_partkey", R.cell_complete(F.col("source"), F.col("is_code")).alias("complete"))
 
 
 QUERIES = {f.__name__: f for f in (ordered_union, fallback_report, fact_coverage, statement_fragments, routing, cells_complete)}
@@ -69,5 +74,7 @@ SQL = {
       SELECT DISTINCT CAST(r AS BIGINT) AS r, 0 AS pos, 'Tarea x' AS name, 'Tarea x' AS body FROM n UNION ALL SELECT CAST(r AS BIGINT), CAST(i AS INTEGER), 'Parte ' || i, 'Parte ' || i || ' — ' || n_name FROM n""",
     "routing": """SELECT event_id, CASE WHEN event_id % 5 > 3 AND event_id % 4 < 3 THEN 'plan_again' WHEN event_id % 5 > 3 THEN 'finish' WHEN event_id % 3 > 0 AND value * 1000 <= 60000 THEN 'skip_pending'
       WHEN event_id % 3 > 0 AND event_id % 2 <> 0 AND event_id % 7 < 3 THEN 'code_again' WHEN event_id % 3 > 0 THEN 'next_task' WHEN event_id % 11 > 5 AND event_id % 13 < 3 THEN 'write_again' ELSE 'finish' END AS next, user_id % 3 = 0 AS naive FROM events""",
-    "cells_complete": "SELECT p_partkey, p_partkey % 5 IN (0, 4) AS complete FROM part",
+    "cells_complete": r"""WITH c AS (SELECT p_partkey, p_partkey % 3 > 0 AS is_code, p_size, CASE WHEN p_size % 5 = 0 THEN '**ESCRIBE AQUÍ** ' || p_name ELSE 'Titulo' || chr(10) || chr(10) || substr(p_name, 1, 14) || '  ' END AS text FROM part)
+      SELECT p_partkey, CASE WHEN is_code THEN p_size % 4 IN (0, 2)
+        ELSE NOT regexp_matches(text, 'ESCRIBE AQU[IÍ]') AND length(trim(CASE WHEN contains(text, chr(10) || chr(10)) THEN substr(text, position(chr(10) || chr(10) IN text) + 2) ELSE text END)) >= 10 END AS complete FROM c""",
 }

@@ -45,8 +45,7 @@ def heading_positions(s: SparkSession, d: str) -> DataFrame:
 
 
 def fold_and_slug(s: SparkSession, d: str) -> DataFrame:
-    line = F.element_at(F.split("text", "\n"), 1)
-    return _docs(s, d).select("doc_id", X.fold(line).alias("folded"), X.slug(line).alias("slug"))
+    return _docs(s, d).select("doc_id", X.fold("text").alias("folded"), X.slug("text").alias("slug"))
 
 
 def word_counts(s: SparkSession, d: str) -> DataFrame:
@@ -137,7 +136,7 @@ SQL = {
       t AS (SELECT doc_id, {_FOLD.format(x="arg_max(line, n)")} AS target FROM l GROUP BY doc_id)
       SELECT t.doc_id, CAST(coalesce(min(pos_at) FILTER (h <> '' AND (h = target OR starts_with(h, target || ' ') AND length(h) <= length(target) + 40)), -1) AS BIGINT) AS pos
       FROM t JOIN o USING (doc_id) GROUP BY t.doc_id""",
-    "fold_and_slug": rf"""SELECT doc_id, {_FOLD.format(x="string_split(text, chr(10))[1]")} AS folded, replace({_FOLD.format(x="string_split(text, chr(10))[1]")}, ' ', '-') AS slug FROM documents""",
+    "fold_and_slug": rf"""SELECT doc_id, {_FOLD.format(x="text")} AS folded, replace({_FOLD.format(x="text")}, ' ', '-') AS slug FROM documents""",
     "word_counts": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS n_words, length(text) AS n_chars FROM documents",
     "number_mentions": """WITH v AS (SELECT l_linenumber AS a, l_extendedprice AS b, round(l_discount * 100, 1) AS c, CAST(format('{:.3e}', l_tax + 0.001) AS DOUBLE) AS t FROM lineitem),
       m AS (SELECT 0 AS seq, 0 AS form, 0 AS decimals, CAST(a AS DOUBLE) AS value FROM v UNION ALL SELECT 1, 0, 2, round(b, 2) FROM v UNION ALL SELECT 2, 0, 1, c FROM v UNION ALL SELECT 2, 1, 3, c / 100 FROM v

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import numbers, text, vectors
+from corvane.functions import text as text_functions
 from corvane.operators import checks, graph, joins, planning, retrieval, scripts, stats
 from corvane.operators import trace as runs
 from corvane.sources import files, keyed
@@ -221,8 +222,44 @@ def test_scripts():
     for bad in ("import socket", "from urllib.request import urlopen", "eval('1')", "import os\nos.environ", "open('../x')", "open('/etc/x')", "x = ("):
         assert not scripts.guard_one(bad)["allowed"], bad
     assert scripts.guard_one("d = load(download=True)")["needs_network"]
-    assert scripts.leakage_one("X_s = sc.fit_transform(X)\na, b = train_test_split(X_s)") == ["1:fitted_before_split:X"]
-    assert scripts.leakage_one("m.fit(A, y)\nm.predict(B)") == []
+
+
+def test_leaks(spark):
+    codes = {1: "X_s = sc.fit_transform(X)\na, b = train_test_split(X_s)", 2: "m.fit(A, y)\nm.predict(B)", 3: "X, y = load()\nm = Tree().fit(X, y)\nacc = (m.predict(X) == y).mean()", 4: "a, b = train_test_split(X)\nm.fit(a, y)\ns = m.score(b, y)", 5: "x = (", 6: None}
+    got = values(scripts.leaks(spark.createDataFrame(list(codes.items()), "id long, code string"), "id"), "id", "line", "kind", "data")
+    assert got == [(1, 1, "fitted_before_split", "X"), (3, 3, "predicts_on_fitted", "X")]
+
+
+@pytest.mark.parametrize("code, allowed", [("open('/etc/my file')", False), ("x.join('//')", True), ("' / '", True), ("'/a\\nb'", True), (f"'/{'x' * 300}'", True), ("'..'", False), ("'a..b'", True), ("'~/x'", False), ("f'{a}/{b}'", True), ("open(f'/home/{u}/x')", False)])
+def test_paths(code, allowed):
+    assert scripts.guard_one(code)["allowed"] == allowed
+
+
+@pytest.mark.parametrize("text, want", [("Dvořák ﬁn Ａ１ ½ №5 İx", "dvorak fin a1 1 2 5 ix"), ("Ñandú, Straße ŁØ", "nandu stra e")])
+def test_fold_beyond_latin(spark, text, want):
+    import re
+    import unicodedata
+
+    plain = re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))).strip()
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(text_functions.fold("t")).first()[0] == plain
+    assert df.select(text_functions.nfkc("t")).first()[0] == unicodedata.normalize("NFKC", text)
+
+
+def test_every_golden_kind(spark):
+    text = "# Intro\n```\nacc: 0.91\n```\nacc:\n0.87 and f1 acc: 12 then 0.5\n## 2. Método\n"
+    schema = "task long, check long, kind string, words array<string>, value double, label string, truth double, tolerance double, in_order boolean"
+    rows = [(1, 0, "cifra", None, None, "acc:", 0.91, None, None), (1, 1, "cifra", None, None, "acc:", 0.87, None, None), (1, 2, "cifra_presente", None, None, None, 0.91, None, None), (1, 3, "secciones", ["Intro", "Metodo"], None, None, None, None, True), (1, 4, "secciones", ["Metodo", "Intro"], None, None, None, None, True), (1, 5, "secciones", ["Metodo", "Intro"], None, None, None, None, False), (1, 6, "secciones", ["Cierre"], None, None, None, None, False), (1, 7, "celdas_intactas", None, None, None, None, None, None), (1, 8, "celdas_completas", None, None, None, None, None, None), (1, 9, "cifra", None, None, "f1", 0.5, None, None), (2, 0, "secciones", ["Intro"], None, None, None, None, False)]
+    texts = spark.createDataFrame([(1, text, 1, 1, 1, 1, 0, 1.0, True, False)], "task long, text string, n_files long, n_pages long, cells long, cells_run long, cell_errors long, share double, cells_intact boolean, cells_complete boolean")
+    got = {(r["task"], r["check"]): r["ok"] for r in checks.run_checks(spark.createDataFrame(rows, schema), texts).collect()}
+    assert got == {(1, 0): False, (1, 1): True, (1, 2): False, (1, 3): True, (1, 4): False, (1, 5): True, (1, 6): False, (1, 7): True, (1, 8): False, (1, 9): True, (2, 0): False}
+
+
+def test_waves_beyond_the_limit_are_an_error(spark):
+    tasks, deps = spark.range(6).selectExpr("id as task"), spark.range(1, 6).selectExpr("id as task", "id - 1 as dep")
+    assert planning.waves(tasks, deps, 6).count() == 6
+    with pytest.raises(RuntimeError):
+        planning.waves(tasks, deps, 5)
 
 
 def test_supported_and_nearest(spark):
