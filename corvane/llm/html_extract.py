@@ -7,7 +7,8 @@ in numpy reads the whole sequence from both ends and gives every block the chanc
 
 The labeller is trained in the driver on TRAIN_PAGES pages that :func:`example_page` writes with a fixed seed: articles in
 many kinds of markup among menus, headers, footers, sidebars, notices, adverts, forms and comments, of which each block's
-label is known.  The model does not depend on the table.
+label is known.  Half of the pages are written in common words, half say in words what their parts are, and in nearly a
+third only that tells, as all tags are plain divs.  The model does not depend on the table.
 
 Defined cases: a null or empty page, or one without article blocks, gives the empty string; unclosed, misnested and
 truncated markup is read as far as it goes; pages and blocks of any length are read whole; repeated rows are labelled
@@ -16,6 +17,7 @@ alike; a null page_id or url is carried through; an empty table gives an empty r
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +31,14 @@ from corvane.llm.htmlblocks import Block, blocks
 from corvane.llm.lstm import BiLstm, padded
 
 #: Places that path words near and far, and text words, are hashed into.
-NEAR, FAR, WORDS, MEASURES = 48, 96, 12, 8
-TRAIN_PAGES, HELD_PAGES, ROUNDS, KEEP_FROM = 900, 300, 10, 0.5
+NEAR, FAR, WORDS, MEASURES = 48, 96, 640, 8
+TRAIN_PAGES, HELD_PAGES, ROUNDS, KEEP_FROM = 1500, 300, 12, 0.5
 #: Blocks that are labelled side by side; a longer page is labelled alone.
 TOGETHER = 20_000
 
+#: Tags that say what a part of a page is.
+_SPEAKING = re.compile(r"<(/?)(?:article|main|section|aside|nav|header|footer|form|div|p|h[1-6]|blockquote|label|button)\b[^>]*>")
+
 _place: dict[str, tuple[int, int]] = {}
 _word_place: dict[str, int] = {}
 
@@ -51,7 +56,7 @@ def _word(word: str) -> int:
     if word not in _word_place:
         if len(_word_place) > 200_000:
             _word_place.clear()
-        _word_place[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS
+        _word_place[word] = zlib.crc32(word.lower().strip(".,:;!?()\"'").encode("utf-8", "surrogatepass")) % WORDS
     return _word_place[word]
 
 
@@ -70,7 +75,7 @@ def vectors(found: list[Block], texts: list[str]) -> np.ndarray:
         out[k, : NEAR + FAR] = paths[b.path]
         words = t.split()
         counts = np.bincount([_word(w) for w in words], minlength=WORDS)
-        out[k, NEAR + FAR : NEAR + FAR + WORDS] = 0.3 * counts / max(1.0, float(np.sqrt((counts**2).sum())))
+        out[k, NEAR + FAR : NEAR + FAR + WORDS] = counts / max(1.0, float(np.sqrt((counts**2).sum())))
         n = len(t)
         out[k, -MEASURES:] = (
             np.log1p(len(words)) / 5, min(1.0, b.linked / max(1, n)), min(1.0, 5 * (t.count(".") + t.count(",")) / max(1, len(words))), float(t[-1:] in ".!?"),
@@ -79,17 +84,44 @@ def vectors(found: list[Block], texts: list[str]) -> np.ndarray:
     return out
 
 
+#: What stands in the parts of a page that are not its article, in four languages.
+PHRASES = {
+    "nav": "Home;News;About us;Contact;Sports;Business;Archive;Sign in;Products;Blog;Startseite;Über uns;Kontakt;Impressum;Accueil;À propos;Contactez-nous;Inicio;Noticias;Contacto;Acerca de;Services;Shop;Help;Topics",
+    "notice": "We use cookies to improve your experience.;Accept all cookies;Subscribe to our newsletter for daily updates.;Sign up for our newsletter;This site uses cookies. Read our privacy policy.;Get unlimited access: subscribe now.;Wir verwenden Cookies auf dieser Website.;Newsletter abonnieren;Nous utilisons des cookies.;Abonnez-vous à notre newsletter;Usamos cookies en este sitio.;Suscríbete a nuestro boletín;Please enable JavaScript to continue.;Turn off your ad blocker;Cookie settings",
+    "ad": "Advertisement;Sponsored content;Buy now and save 50%;Click here for a special offer;Limited time offer: free shipping on all orders;Anzeige;Jetzt kaufen;Publicité;Achetez maintenant;Publicidad;Compra ahora;Promoted by our partners;Shop the sale today",
+    "side": "Related articles;Most read;Trending now;You may also like;Share this article;Follow us on social media;Popular posts;Recommended for you;Read more;Ähnliche Beiträge;Meistgelesen;Teilen;Articles similaires;Les plus lus;Partager;Artículos relacionados;Lo más leído;Compartir;Tags: politics, economy;Share on Facebook;Tweet this",
+    "form": "Search;Email address;Password;Log in;Submit;Your name;Send message;Suche;Anmelden;Absenden;Rechercher;Se connecter;Envoyer;Buscar;Iniciar sesión;Enviar;Remember me;Enter your email;Register",
+    "footer": "© 2024 All rights reserved.;Privacy policy;Terms of service;Terms and conditions;Cookie policy;Copyright 2023;Alle Rechte vorbehalten;Datenschutz;Impressum;Tous droits réservés;Mentions légales;Todos los derechos reservados;Aviso legal;Powered by our platform;Contact us;Site map",
+    "comment": "Great post, thanks for sharing!;I totally agree with you.;Thanks, this helped me a lot;First!;Reply;Leave a comment;3 comments;Comments;Kommentare;Toller Artikel, danke!;Commentaires;Merci pour cet article !;Comentarios;Gracias por compartir;Log in to comment;Anna says: nice one;posted 2 days ago",
+}
+#: Common words of articles in the same languages.
+PROSE = (
+    "the of and to in that was for with on as by from had were which their more after two when year said he she it they but not would one been has have its new over who out about into than last could first people time when city water house work found long under "
+    "der die und das von mit den ist nicht ein eine auf dem des sich wurde war als auch nach bei aus wird haben jahr sein durch werden zum über "
+    "le la les des et une est que dans pour qui par sur au avec plus ne se ce sont été il elle ont cette mais deux comme son "
+    "el los las una que del por con para como más pero sus este entre ser era cuando sobre también hasta desde todo años fue"
+).split()
+
+
 def example_page(r: np.random.Generator) -> tuple[str, list[int]]:
     """A page and the labels of its blocks, in page order."""
     pick = lambda *xs: xs[int(r.integers(len(xs)))]
     maybe = lambda p: r.random() < p
     letters = "abcdefghijklmnopqrstuvwxyzéüñ"
     word = lambda: "".join(letters[int(i)] for i in r.integers(0, len(letters), int(r.integers(1, 9))))
-    some = lambda a, b: " ".join(word() + (pick(".", ",", "") if maybe(0.15) else "") for _ in range(int(r.integers(a, b)))) or word()
+    true_words, bare, speaks = r.random() < 0.5, r.random() < 0.3, r.random() < 0.5
+    any_word = lambda: PROSE[int(r.integers(len(PROSE)))] if true_words and r.random() < 0.6 else word()
+    between = lambda: pick(" | ", " | ", " * ", " # ", " - ", "!! ") if maybe(0.08) else " "
+    some = lambda a, b: between().join(any_word() + (pick(".", ",", "") if maybe(0.15) else "") for _ in range(int(r.integers(a, b)))) or word()
     sentence = lambda a=4, b=40: some(a, b).rstrip(".,").capitalize() + pick(".", ".", "")
     html: list[str] = []
     labels: list[int] = []
 
+    def say(kind: str, otherwise: str) -> str:
+        """What a part of the page says: its phrases, on a page without classes always, else on half of the pages."""
+        of = PHRASES[kind].split(";")
+        return of[int(r.integers(len(of)))] + (" " + of[int(r.integers(len(of)))] if maybe(0.15) else "") if bare or speaks and maybe(0.8) else otherwise
+
     def put(markup: str, *of: int) -> None:
         html.append(markup)
         labels.extend(of)
@@ -97,34 +129,34 @@ def example_page(r: np.random.Generator) -> tuple[str, list[int]]:
     def links(tag: str, cls: str) -> None:
         n = int(r.integers(1, 8))
         if maybe(0.7):
-            put(f"<{tag}{cls}><ul>" + "".join(f'<li><a href="/{i}">{some(1, 4)}</a></li>' for i in range(n)) + f"</ul></{tag}>", *[0] * n)
+            put(f"<{tag}{cls}><ul>" + "".join(f'<li><a href="/{i}">{say("nav", some(1, 4))}</a></li>' for i in range(n)) + f"</ul></{tag}>", *[0] * n)
         else:
-            put(f"<{tag}{cls}>" + " | ".join(f'<a href="/{i}">{some(1, 3)}</a>' for i in range(n)) + f"</{tag}>", 0)
+            put(f"<{tag}{cls}>" + pick(" | ", " ").join(f'<a href="/{i}">{say("nav", some(1, 3))}</a>' for i in range(n)) + f"</{tag}>", 0)
 
     def cls(*names: str) -> str:
         return f' {pick("class", "class", "id")}="{pick(*names)}"'
 
-    def box(tag: str, attrs: str, head: float = 0.4, most: int = 4) -> None:
+    def box(tag: str, attrs: str, head: float = 0.4, most: int = 4, kind: str = "side") -> None:
         n = int(r.integers(1, most))
         inner, own = "", 0
         if maybe(head):
-            inner, own = f"<h{pick(2, 3, 4)}>{some(1, 6)}</h{3}>", 1
+            inner, own = f"<h{pick(2, 3, 4)}>{say(kind, some(1, 6))}</h{3}>", 1
         if maybe(0.35):
-            inner += "<ul>" + "".join(f"<li>{pick('<a href=x>' + some(1, 6) + '</a>', sentence(2, 20))}</li>" for _ in range(n)) + "</ul>"
+            inner += "<ul>" + "".join(f"<li>{pick('<a href=x>' + say(kind, some(1, 6)) + '</a>', say(kind, sentence(2, 20)))}</li>" for _ in range(n)) + "</ul>"
         elif maybe(0.7):
-            inner += "".join(f"<p>{sentence(3, 30)}</p>" for _ in range(n))
+            inner += "".join(f"<p>{say(kind, sentence(3, 30))}</p>" for _ in range(n))
         else:
-            inner, n = inner + f"<div>{sentence(2, 25)}</div>", 1
+            inner, n = inner + f"<div>{say(kind, sentence(2, 25))}</div>", 1
         put(f"<{tag}{attrs}>{inner}</{tag}>", *[0] * (own + n))
 
     def one_ad() -> None:
-        put(f"<div{cls('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner', 'ad-slot')}>{sentence()}</div>", 0) if maybe(0.7) else box(pick("div", "section"), cls("ad", "ads", "advertisement", "sponsored", "promo"))
+        put(f"<div{cls('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner', 'ad-slot')}>{say('ad', sentence())}</div>", 0) if maybe(0.7) else box(pick("div", "section"), cls("ad", "ads", "advertisement", "sponsored", "promo"), kind="ad")
 
     def notice() -> None:
-        box("div", cls("cookie-banner", "cookie-notice", "consent", "notice", "gdpr", "newsletter", "popup", "alert", "subscribe", "paywall") + pick("", ' role="dialog"'), 0.2, 3)
+        box("div", cls("cookie-banner", "cookie-notice", "consent", "notice", "gdpr", "newsletter", "popup", "alert", "subscribe", "paywall") + pick("", ' role="dialog"'), 0.2, 3, "notice")
 
     def form() -> None:
-        put(f"<form{pick('', cls('search', 'newsletter', 'login', 'signup'))}><label>{some(1, 4)}</label><input name=q><button>{some(1, 3)}</button></form>", 0, 0)
+        put(f"<form{pick('', cls('search', 'newsletter', 'login', 'signup'))}><label>{say('form', some(1, 4))}</label><input name=q><button>{say('form', some(1, 3))}</button></form>", 0, 0) if maybe(0.8) else put(f"<form><select>" + "".join(f"<option>{say('form', some(1, 3))}</option>" for _ in range(3)) + "</select></form>", 0, 0, 0)
 
     def sidebar() -> None:
         box("aside", pick("", cls("sidebar", "related", "widget")), 0.7) if maybe(0.6) else box("div", cls("sidebar", "related", "widget", "side", "recommended", "trending", "share", "social", "author-bio", "tags"), 0.7)
@@ -133,20 +165,20 @@ def example_page(r: np.random.Generator) -> tuple[str, list[int]]:
         n, parts, own = int(r.integers(1, 5)), "", 0
         for _ in range(n):
             if maybe(0.5):
-                parts += f"<{(t := pick('div', 'article', 'li'))}{cls('comment', 'reply', 'comment-body')}><p>{sentence(3, 30)}</p></{t}>"
+                parts += f"<{(t := pick('div', 'article', 'li'))}{cls('comment', 'reply', 'comment-body')}><p>{say('comment', sentence(3, 30))}</p></{t}>"
                 own += 1
             else:
-                parts += f"<div{cls('comment', 'comment-item')}><b>{word()}</b>: {sentence(3, 30)}</div>"
+                parts += f"<div{cls('comment', 'comment-item')}><b>{word()}</b>: {say('comment', sentence(3, 30))}</div>"
                 own += 1
         tag = pick("section", "div", "div")
         head = maybe(0.6)
-        put(f"<{tag}{cls('comments', 'comment-list', 'discussion', 'responses', 'disqus-thread')}>" + (f"<h3>{some(1, 3)}</h3>" if head else "") + parts + f"</{tag}>", *[0] * (own + head))
+        put(f"<{tag}{cls('comments', 'comment-list', 'discussion', 'responses', 'disqus-thread')}>" + (f"<h3>{say('comment', some(1, 3))}</h3>" if head else "") + parts + f"</{tag}>", *[0] * (own + head))
 
     put(f"<!DOCTYPE html><html><head><title>{some(2, 8)}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>")
     if maybe(0.3):
         notice()
     if maybe(0.45):
-        inner = f"<div{cls('logo', 'site-title', 'brand')}>{some(1, 4)}</div>" if maybe(0.5) else f"<h1>{some(1, 4)}</h1>" if maybe(0.4) else f"<p>{some(1, 8)}</p>"
+        inner = f"<div{cls('logo', 'site-title', 'brand')}>{some(1, 4)}</div>" if maybe(0.5) else f"<h1>{some(1, 4)}</h1>" if maybe(0.4) and not bare else f"<p>{say('nav', some(1, 8))}</p>"
         put(f"<header{pick('', cls('site-header', 'header', 'masthead'))}>{inner}", 0)
         if maybe(0.6):
             links("nav", "")
@@ -158,24 +190,26 @@ def example_page(r: np.random.Generator) -> tuple[str, list[int]]:
     shell = pick("article", "article", "article", "main", "main><article", 'div class="content"', 'div class="post-content"', 'div id="article-body"', 'div class="entry-content"', 'div role="main"', "section class=article", "body")
     tags = [x.split()[0] for x in shell.split("><")] if shell != "body" else []
     put("".join(f"<{x}>" for x in shell.split("><")) if tags else "")
+    low = 6 if bare else 1  # on a page of plain divs a word or two alone could be anything
     if maybe(0.8):
-        put((f"<header><h1>{some(1, 10)}</h1></header>" if maybe(0.15) else f"<h{pick(1, 1, 2)}>{some(1, 10)}</h1>"), 1) if tags else put(f"<h1>{some(1, 10)}</h1>", 1)
-    for _ in range(int(r.integers(1, 9))):
+        put((f"<header><h1>{some(low, 10)}</h1></header>" if maybe(0.15) else f"<h{pick(1, 1, 2)}>{some(low, 10)}</h1>"), 1) if tags else put(f"<h1>{some(low, 10)}</h1>", 1)
+    for _ in range(int(r.integers(1, 9)) if maybe(0.8) else int(r.integers(9, 45))):
         kind = r.random()
         if kind < 0.68:
-            text = sentence(1, 70) if maybe(0.85) else sentence(1, 3)
+            text = sentence(low, 70) if maybe(0.85) or bare else sentence(1, 3)
+            text = text.upper() if maybe(0.04) else text
             if maybe(0.2):
                 text = f"{pick('<b>', '<em>', '<a href=x>', '<span>')}{some(1, 5)}{pick('</b>', '</em>', '</a>', '</span>', '')} {text}"
             put(f"<p>{text}{pick('</p>', '</p>', '', '<br>')}", 1)
         elif kind < 0.76:
-            put(f"<h{pick(2, 3)}>{some(1, 8)}</h2>", 1)
+            put(f"<h{pick(2, 3)}>{some(low, 9)}</h2>", 1)
         elif kind < 0.82:
             n = int(r.integers(1, 4))
-            put(f"<{(t := pick('ul', 'ol'))}>" + "".join(f"<li>{sentence(1, 20)}</li>" for _ in range(n)) + f"</{t}>", *[1] * n)
+            put(f"<{(t := pick('ul', 'ol'))}>" + "".join(f"<li>{sentence(low, 20)}</li>" for _ in range(n)) + f"</{t}>", *[1] * n)
         elif kind < 0.86:
-            put(f"<blockquote>{sentence()}</blockquote>", 1) if maybe(0.5) else put(f"<pre>{some(2, 12)}</pre>", 1)
+            put(f"<blockquote>{sentence()}</blockquote>", 1) if maybe(0.5) else put(f"<pre>{some(low, 14)}</pre>", 1)
         elif kind < 0.89:
-            put(f"<table><tr><td>{some(1, 4)}</td><td>{some(1, 4)}</td></tr></table>", 1, 1)
+            put(f"<table><tr><td>{some(low, low + 3)}</td><td>{some(low, low + 3)}</td></tr></table>", 1, 1)
         elif kind < 0.92:
             put(f"<div>{sentence()}</div>", 1)
         else:
@@ -190,12 +224,14 @@ def example_page(r: np.random.Generator) -> tuple[str, list[int]]:
     if maybe(0.8):
         foot = pick("footer", "footer", 'div class="footer"', 'div id="site-footer"')
         if maybe(0.7):
-            put(f"<{foot}>{pick('&copy; ', '', '2024 ')}{word()}.example.com {pick('&middot; ', '')}{sentence(2, 25)}</{foot.split()[0]}>", 0)
+            put(f"<{foot}>{pick('&copy; ', '', '2024 ')}{word()}.example.com {pick('&middot; ', '')}{say('footer', sentence(2, 25))}</{foot.split()[0]}>", 0)
         else:
             put(f"<{foot}>")
             links("div", "")
-            put(f"<p>{sentence(2, 20)}</p></{foot.split()[0]}>", 0)
+            put(f"<p>{say('footer', sentence(2, 20))}</p></{foot.split()[0]}>", 0)
     page = "".join(html) + pick("</body></html>", "")
+    if bare:  # no tag or class tells what a part is
+        page = _SPEAKING.sub(lambda m: f"<{m[1]}div>", page)
     return page, labels
 
 

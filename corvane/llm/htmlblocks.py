@@ -1,6 +1,7 @@
 """HTML pages as sequences of text blocks: a lenient reader for whole pages, of which nothing is dropped.
 
-A block is the text between two block-level boundaries.  Each keeps its path of open elements (names, with their class
+A block is the text between two block-level boundaries; formulas, drawings and what stands in for other media are part of
+their line.  Each keeps its path of open elements (names, with their class
 and id words), and how much of its text stands in links.  Comments, doctypes and the contents of scripts, styles and
 other raw elements are no text.  Character references are decoded once, white space becomes one space.
 """
@@ -14,9 +15,10 @@ from dataclasses import dataclass, field
 #: Elements that stay inside a line of text; every other one ends the block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math mi mn mo mtext mrow msup msub msubsup mfrac msqrt mroot mover munder mstyle semantics annotation svg g text tspan object canvas audio video picture map".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select head".split())
+RAW = frozenset("script style template textarea title iframe head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of the first kind ends an open one of the second at once.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}

@@ -22,11 +22,12 @@ class BiLstm:
             self.w[f"b{d}"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
         self.w["o"] = r.normal(0, 0.3, 2 * hidden)
         self.w["ob"] = np.zeros(1)
+        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States (batch, length, hidden) of one direction; padding passes the state on unchanged."""
         n, length, k = x.shape[0], x.shape[1], self.hidden
-        h, c, out = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, length, k))
+        h, c, out = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.zeros((n, length, k), np.float32)
         drive = x @ self.w[f"x{d}"] + self.w[f"b{d}"]
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
             z = drive[:, t] + h @ self.w[f"h{d}"]
@@ -53,7 +54,7 @@ class BiLstm:
         for d, part in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
             above = error[:, :, None] * self.w["o"][part]
             gx, gh, gb = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(self.w[f"h{d}"]), np.zeros_like(self.w[f"b{d}"])
-            dh, dc = np.zeros((len(x), k)), np.zeros((len(x), k))
+            dh, dc = np.zeros((len(x), k), np.float32), np.zeros((len(x), k), np.float32)
             for t, h, c, i, f, o, g, new_c in reversed(kept[d]):
                 m, dh = mask[:, t : t + 1], dh + above[:, t]
                 tc = np.tanh(new_c)
@@ -74,25 +75,26 @@ class BiLstm:
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
-        for _ in range(rounds):
+        for turn in range(rounds):
+            pace = np.float32(rate * min(1.0, 2 * (rounds - turn) / rounds))  # slower in the second half
             order = r.permutation(len(sequences))
             for k in range(0, len(order), batch):
                 own = order[k : k + batch]
                 x, mask = padded([sequences[i] for i in own])
-                y = np.zeros(mask.shape)
+                y = np.zeros(mask.shape, np.float32)
                 for j, i in enumerate(own):
                     y[j, : len(labels[i])] = labels[i]
                 step += 1
                 for name, g in self._gradient(x, mask, y).items():
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.99 * second[name] + 0.01 * g**2
-                    self.w[name] = self.w[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+                    self.w[name] = self.w[name] - pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
         return self
 
 
 def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     length = max(map(len, sequences))
-    x, mask = np.zeros((len(sequences), length, sequences[0].shape[1])), np.zeros((len(sequences), length), bool)
+    x, mask = np.zeros((len(sequences), length, sequences[0].shape[1]), np.float32), np.zeros((len(sequences), length), bool)
     for j, s in enumerate(sequences):
         x[j, : len(s)], mask[j, : len(s)] = s, True
     return x, mask
