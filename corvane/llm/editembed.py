@@ -27,8 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded_batches, partitions, saved
+from corvane.llm.simhash import components, named
 
 SLOTS, GRAM, BAND, SEED = 64, 4, 4, 11
+#: Likeness from which two texts are of one class.
+LEAST = 0.8
+#: Fingerprints of one band that are compared as rows of a join; of a larger band, fingerprints in a block.
+SMALL, BLOCK = 32, 512
 PERIOD = 1 << 16
 #: Texts walked side by side: so many code points at once, until fewer than ALONE still walk.
 SIDE_BY_SIDE, ALONE = 4 << 20, 48
@@ -199,6 +204,11 @@ def _pairs(rows: Iterator[tuple]) -> Iterator[tuple[int | None, str, str]]:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """The fingerprints of each text and its edited text, their likeness, and class_id, the class of near texts."""
+    return classes(saved(described(docs), "described"))
+
+
+def described(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -237,17 +247,63 @@ def _described(held: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs (a, b, likeness) of distinct fingerprints that meet in a band and agree in at least ``least`` of the slots.
+def _alike(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) of fingerprint numbers whose fingerprints agree in at least ``least`` of the slots."""
+    both = pairs.join(prints.select(F.col("fp").alias("u"), F.col("p").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("p").alias("b")), "v")
 
-    ``prints`` has a column ``fingerprint``.  Equal fingerprints are one row here, so groups of copies never meet in
-    pairs.  A band is BAND slots; with 16 bands, two prints that agree in 0.8 of the slots miss each other with a chance
-    of 0.0002.
-    """
-    distinct = saved(prints.select("fingerprint").distinct(), "prints")
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("fingerprint", 2 * BAND * k + 1, 2 * BAND).alias("v")) for k in range(SLOTS // BAND)])
-    keyed = distinct.select("fingerprint", F.explode(bands).alias("band"))
-    both = keyed.select("band", F.col("fingerprint").alias("a")).join(keyed.select("band", F.col("fingerprint").alias("b")), "band").filter("a < b")
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.substring("a", 2 * k + 1, F.lit(2)) == F.substring("b", 2 * k + 1, F.lit(2))).cast("int"))
-    return both.select("a", "b").distinct().withColumn("likeness", same / SLOTS).filter(F.col("likeness") >= least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(likeness(x, y) >= least, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
+
+def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """Links (u, v) that join all fingerprints of ``prints`` (fp, p: its number and bytes) that meet in a band and agree in at
+    least ``least`` of the slots, over any number of steps.
+
+    Each band first links its fingerprints to the smallest one.  Only bands whose fingerprints are not in one component
+    then compare the rest: up to SMALL of them as rows of a join, more as pairs of blocks, each a task of its own.
+    """
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("p", BAND * k + 1, BAND)) for k in range(SLOTS // BAND)])
+    keyed = prints.select("fp", F.explode(bands).alias("k"))
+    met = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).filter("n > 1")
+    shared = saved(keyed.join(met, "k"), "bands")
+    stars = saved(_alike(shared.filter("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct(), prints, least), "stars")
+    found = components(stars).select(F.col("node").alias("fp"), "root")
+    placed = shared.join(found, "fp", "left").select("k", "fp", "n", F.coalesce("root", "fp").alias("c"))
+    split = placed.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("k")
+    left = saved(placed.join(split, "k"), "open")
+    few = left.filter(F.col("n") <= SMALL)
+    pairs = few.select("k", F.col("fp").alias("u"), F.col("c").alias("cu")).join(few.select("k", F.col("fp").alias("v"), F.col("c").alias("cv")), "k").filter("u < v and cu <> cv")
+    more = _alike(pairs.select("u", "v").distinct(), prints, least)
+    many = left.filter(F.col("n") > SMALL).withColumn("blocks", F.floor((F.col("n") - 1) / BLOCK) + 1).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    many = many.select("k", "fp", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    many = many.select("k", "fp", "c", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(prints, "fp")
+
+    def compare(t: pa.Table) -> pa.Table:
+        block, a, b = t["block"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
+        p, fp, c = np.frombuffer(b"".join(t["p"].to_pylist()), np.uint8).reshape(-1, SLOTS), t["fp"].to_numpy(), t["c"].to_numpy()
+        others, u, v = np.flatnonzero(block == b), [], []
+        for i in np.flatnonzero(block == a).tolist():
+            near = others[(c[others] != c[i]) & (likeness(p[others], p[i]) >= least)]
+            u.append(np.full(len(near), fp[i]))
+            v.append(fp[near])
+        none = np.empty(0, np.int64)
+        return pa.table({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
+
+    return stars.unionByName(more).unionByName(many.groupBy("k", "a", "b").applyInArrow(compare, "u long, v long"))
+
+
+def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """``rows`` (doc_id, fingerprint, ...) with class_id: the smallest doc_id reachable by links between fingerprints.
+
+    With 16 bands, two fingerprints that agree in 0.8 of the slots miss each other with a chance of 0.0002.  Equal
+    fingerprints are one here, so groups of copies never meet in pairs.  Fingerprints are told apart by 64 bits of hash.
+    """
+    rows = rows.withColumn("fp", F.xxhash64("fingerprint"))
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.unhex(F.any_value("fingerprint")).alias("p"))
+    prints = saved(prints, "prints")
+    found = components(links(prints.select("fp", "p"), least))
+    return named(rows, prints.select("fp", "rep", "n"), found).withColumnRenamed("component_id", "class_id").drop("fp")

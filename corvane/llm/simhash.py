@@ -296,11 +296,11 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     rows = saved(fingerprints(docs, words), "fingerprints")
     reps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
     edges = near_edges(reps.select("fp"), radius, agreeing_blocks(reps.count(), radius))
-    return named(rows.select("doc_id", "fp"), reps, components(edges))
+    return named(rows, reps, components(edges)).select("doc_id", "fp", "component_id")
 
 
 def named(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id for ``rows`` (doc_id, fp), from ``reps`` (fp, rep, n) and components (node, root).
+    """``rows`` (with fp) and their component_id, from ``reps`` (fp, rep, n) and components (node, root).
 
     Rows of a fingerprint that more than HOT_ROWS share are not brought together: such fingerprints are at most one for
     HOT_ROWS rows, and are broadcast if there are no more than HOT_PRINTS; beyond that Spark splits skewed partitions.
@@ -311,9 +311,9 @@ def named(rows: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
     names = saved(reps.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "rep").alias("component_id")), "names")
     hot = names.filter(F.col("n") > HOT_ROWS).select("fp", "component_id")
     if not 0 < hot.count() <= HOT_PRINTS:
-        return rows.join(names.drop("n"), "fp").select("doc_id", "fp", "component_id")
+        return rows.join(names.drop("n"), "fp")
     few = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(names.filter(F.col("n") <= HOT_ROWS).drop("n"), "fp")
-    return rows.join(F.broadcast(hot), "fp").unionByName(few).select("doc_id", "fp", "component_id")
+    return rows.join(F.broadcast(hot), "fp").unionByName(few)
 
 
 def report(docs: DataFrame) -> DataFrame:
