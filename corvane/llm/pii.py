@@ -42,7 +42,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _AT = re.compile(r"\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)+")
 _VALUE = re.compile(r"[=:]\s*[\"']([^\"'\s]{8,}+)[\"']")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{20,}+")
-_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Digits that go on before or after a proposal: joined by a mark, or set apart by a space.
 _BESIDE = [re.compile(r"[0-9][-./(]$"), re.compile(r"[0-9][)./-]? [(+]?$"), re.compile(r"^[-./)][0-9]"), re.compile(r"^[)./-]? [(]?[0-9]")]
 _CUES = {

@@ -7,8 +7,7 @@ all other draws stand.  The weight of a node is the number of its shards (or the
 shares.
 
 Shards are numbered in order; four make a region and two a rack.  A shard added after the last full region starts a
-region of its own, so that it takes documents only into itself (the ``key`` law, which op7's query states for 8 and 9
-shards); growth within a region confines movement to that region.
+region of its own, so that it takes documents only into itself (the ``key`` law; :func:`assign` refuses counts that leave a region open); growth within a region confines movement to that region.
 
 Defined cases: a null text has size 1 and the checksum of the empty string; a null doc_id is placed like an id of its own;
 repeated rows go to one shard and get slots of their own; an empty table gives an empty result; further columns are
@@ -71,7 +70,13 @@ def place(key: Column, node: Node) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of ``docs``."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of ``docs``.
+
+    ``shards`` must fill its regions: within a region that is not full, one more shard would also draw documents to the
+    shards beside it, and the ``key`` law would not hold.
+    """
+    if shards < 1 or shards % PER_REGION:
+        raise ValueError(f"the key law holds for multiples of {PER_REGION} shards")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = saved(
