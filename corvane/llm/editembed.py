@@ -205,12 +205,13 @@ def _pairs(rows: Iterator[tuple]) -> Iterator[tuple[int | None, str, str]]:
 
 def report(docs: DataFrame) -> DataFrame:
     """The fingerprints of each text and its edited text, their likeness, and class_id, the class of near texts."""
-    return classes(saved(described(docs), "described"))
+    rows = classes(saved(described(docs), "described"))
+    return rows.select("doc_id", "n_chars", *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], "near_edited", "near_next", "class_id")
 
 
 def described(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in ("part", "id", "text", "own")), strict=True))
@@ -237,9 +238,9 @@ def _described(held: list[tuple]) -> pa.RecordBatch:
         [
             pa.array([i for i, _, _ in held], pa.int64()),
             pa.array([len(t) for _, t, _ in held], pa.int64()),
-            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new], pa.string()),
-            pa.array([r.tobytes().hex() for r in own], pa.string()),
-            pa.array([r.tobytes().hex() for r in made], pa.string()),
+            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in new], pa.binary()),
+            pa.array([r.tobytes() for r in own], pa.binary()),
+            pa.array([r.tobytes() for r in made], pa.binary()),
             pa.array(likeness(own, made)),
             pa.array(likeness(own, after)),
         ],
@@ -259,6 +260,20 @@ def _alike(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, fp), sorted: those that are not the first of their k, with the first; read as a stream, no k is held."""
+    last, low = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
+        first = np.append(last is None or k[0] != last, k[1:] != k[:-1])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
+        lows = np.where(at < 0, 0 if low is None else low, fp[at])
+        last, low = k[-1], lows[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (k, fp, lows)], ["k", "fp", "low"])
+
+
 def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """Links (u, v) that join all fingerprints of ``prints`` (fp, p: its number and bytes) that meet in a band and agree in at
     least ``least`` of the slots, over any number of steps.
@@ -267,10 +282,11 @@ def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
     then compare the rest: up to SMALL of them as rows of a join, more as pairs of blocks, each a task of its own.
     """
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("p", BAND * k + 1, BAND)) for k in range(SLOTS // BAND)])
-    keyed = prints.select("fp", F.explode(bands).alias("k"))
-    met = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).filter("n > 1")
-    shared = saved(keyed.join(met, "k"), "bands")
-    stars = saved(_alike(shared.filter("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct(), prints, least), "stars")
+    keyed = prints.select(F.explode(bands).alias("k"), "fp").repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k", "fp")
+    met = saved(keyed.mapInArrow(_runs, "k long, fp long, low long"), "bands")
+    shared = met.unionByName(met.select("k", F.col("low").alias("fp"), "low").distinct())
+    shared = shared.join(met.groupBy("k").agg((F.count(F.lit(1)) + 1).alias("n")), "k")
+    stars = saved(_alike(met.select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct(), prints, least), "stars")
     found = components(stars).select(F.col("node").alias("fp"), "root")
     placed = shared.join(found, "fp", "left").select("k", "fp", "n", F.coalesce("root", "fp").alias("c"))
     split = placed.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("k")
@@ -297,13 +313,13 @@ def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """``rows`` (doc_id, fingerprint, ...) with class_id: the smallest doc_id reachable by links between fingerprints.
+    """``rows`` (doc_id, fingerprint as bytes, ...) with class_id: the smallest doc_id reachable by links between fingerprints.
 
     With 16 bands, two fingerprints that agree in 0.8 of the slots miss each other with a chance of 0.0002.  Equal
     fingerprints are one here, so groups of copies never meet in pairs.  Fingerprints are told apart by 64 bits of hash.
     """
     rows = rows.withColumn("fp", F.xxhash64("fingerprint"))
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.unhex(F.any_value("fingerprint")).alias("p"))
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("fingerprint").alias("p"))
     prints = saved(prints, "prints")
     found = components(links(prints.select("fp", "p"), least))
     return named(rows, prints.select("fp", "rep", "n"), found).withColumnRenamed("component_id", "class_id").drop("fp")

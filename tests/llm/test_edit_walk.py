@@ -69,5 +69,5 @@ def test_classes_equal_all_pairs_that_share_a_band(spark, monkeypatch, small, bl
             if meet and (a == b).mean() >= 0.8:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    df = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    df = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "doc_id long, fingerprint binary")
     assert {x["doc_id"]: x["class_id"] for x in E.classes(df).collect()} == {i: find(i) for i in range(len(prints))}

@@ -212,8 +212,8 @@ def test_edit_embedding_keeps_near_texts_near(spark, texts):
     for t in [t for t in texts.values() if len(t) > 400][:60]:
         at = int(r.integers(0, len(t) - 5))
         rows += [t, t[:at] + "Q" + t[at + 2 :]]
-    prints = [(i, p.tobytes().hex()) for i, p in enumerate(editembed.fingerprints(rows))]
-    of = {r["doc_id"]: r["class_id"] for r in editembed.classes(spark.createDataFrame(prints, "doc_id long, fingerprint string"), 0.7).collect()}
+    prints = [(i, p.tobytes()) for i, p in enumerate(editembed.fingerprints(rows))]
+    of = {r["doc_id"]: r["class_id"] for r in editembed.classes(spark.createDataFrame(prints, "doc_id long, fingerprint binary"), 0.7).collect()}
     near = [of[i] == of[i + 1] for i in range(0, len(prints), 2)]
     assert np.mean(near) > 0.9
 
