@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corvane.llm import chat, editembed, html_extract, linededup, packing, pieces, pii, quality, sharding, simhash
+from corvane.llm import chat, configpack, editembed, html_extract, linededup, packing, periodic, pieces, pii, quality, repair, sharding, simhash
 from corvane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": lambda s, d: quality.judge(table(s, d, "documents")),
         "op9_pieces": lambda s, d: pieces.report(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
         "op10_html_extract": lambda s, d: html_extract.report(table(s, d, "pages")),
+        "op11_periodic_runs": lambda s, d: periodic.report(table(s, d, "documents")),
+        "op12_conversation_repair": lambda s, d: repair.report(table(s, d, "conversations")),
+        "op13_config_packing": lambda s, d: configpack.pack(table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "pipeline": corpus_pipeline.run,
     }
 
