@@ -53,7 +53,7 @@ class BiLstm:
         k = self.hidden
         for d, part in (("f", slice(0, k)), ("b", slice(k, 2 * k))):
             above = error[:, :, None] * self.w["o"][part]
-            gx, gh, gb = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(self.w[f"h{d}"]), np.zeros_like(self.w[f"b{d}"])
+            gh, drive = np.zeros_like(self.w[f"h{d}"]), np.zeros((*mask.shape, 4 * k), np.float32)
             dh, dc = np.zeros((len(x), k), np.float32), np.zeros((len(x), k), np.float32)
             for t, h, c, i, f, o, g, new_c in reversed(kept[d]):
                 m, dh = mask[:, t : t + 1], dh + above[:, t]
@@ -61,24 +61,26 @@ class BiLstm:
                 own = np.where(m, dh, 0)
                 dcell = np.where(m, dc, 0) + own * o * (1 - tc**2)
                 dz = np.concatenate([dcell * g * i * (1 - i), dcell * c * f * (1 - f), own * tc * o * (1 - o), dcell * i * (1 - g**2)], axis=1)
-                gx += x[:, t].T @ dz
+                drive[:, t] = dz
                 gh += h.T @ dz
-                gb += dz.sum(0)
                 dh = np.where(m, 0, dh) + dz @ self.w[f"h{d}"].T
                 dc = np.where(m, dcell * f, dc)
-            grad |= {f"x{d}": gx, f"h{d}": gh, f"b{d}": gb}
+            drive = drive.reshape(-1, 4 * k)
+            grad |= {f"x{d}": x.reshape(len(drive), -1).T @ drive, f"h{d}": gh, f"b{d}": drive.sum(0)}
         return grad
 
     def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int, batch: int = 32, rate: float = 0.01, seed: int = 6) -> BiLstm:
-        """Adam on the logistic loss, sequences shuffled by a fixed seed."""
+        """Adam on the logistic loss, sequences of like length together, in an order shuffled by a fixed seed.
+
+        The weights are the mean over the steps of the second half, which no single step decides."""
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step = 0
+        step, mean, seen = 0, {k: np.zeros_like(v, np.float64) for k, v in self.w.items()}, 0
         for turn in range(rounds):
             pace = np.float32(rate * min(1.0, 2 * (rounds - turn) / rounds))  # slower in the second half
-            order = r.permutation(len(sequences))
-            for k in range(0, len(order), batch):
+            order = sorted(range(len(sequences)), key=lambda i: (len(sequences[i]) + r.random() * 8))
+            for k in r.permutation(-(-len(order) // batch)) * batch:
                 own = order[k : k + batch]
                 x, mask = padded([sequences[i] for i in own])
                 y = np.zeros(mask.shape, np.float32)
@@ -89,6 +91,11 @@ class BiLstm:
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.99 * second[name] + 0.01 * g**2
                     self.w[name] = self.w[name] - pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+                if 2 * turn >= rounds:
+                    seen += 1
+                    for name, v in self.w.items():
+                        mean[name] += v
+        self.w = {k: (v / max(1, seen)).astype(np.float32) for k, v in mean.items()}
         return self
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 BETWEEN, TOGETHER = "\x01", 256
 #: Marks that are split off the end of a word of letters, so that a word is encoded once for all marks after it.
 MARKS = ".,;:!?"
+#: Letters that end in no combining mark once they are normalised, so that punctuation after them is a word of its own.
+ALONE = r"[a-zA-Z\x{c0}-\x{12f}\x{131}-\x{24f}\p{Greek}\p{Cyrillic}\p{Han}]"
 #: Words that no normaliser changes, and what ends them in the byte-pair ranks.
 PLAIN, ENDING = "^[a-zß-öø-ÿ]+$", "\x00"
 #: Texts that tell whether a tokenizer treats words apart, and A-Z like a-z.
@@ -54,7 +57,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ordinary = Tokenizer.from_file(path)
+        self.ordinary.encode_special_tokens = True  # texts with such strings go to the plain one, whole
         between = self._ids([BETWEEN])[0]
         self.between = int(between[0]) if len(between) == 1 else None
         self.ranks, self.ends_word = self._byte_pairs(path)
@@ -107,9 +112,15 @@ class WordIds:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where those of each text end; a null text has none."""
         texts = texts.fill_null("")
-        if self.apart:
+        if self.apart and not self.added:
             return self._split(texts)
-        each = self._ids(texts.to_pylist())
+        special = pc.match_substring_regex(texts, "|".join(self.added), ignore_case=True).to_numpy(zero_copy_only=False) if self.apart else np.ones(len(texts), bool)
+        if not special.any():
+            return self._split(texts)
+        ids, ends = self._split(pc.if_else(pa.array(special), "", texts)) if self.apart else (np.empty(0, "<u4"), np.zeros(len(texts), np.int64))
+        each = np.split(ids, ends[:-1])
+        for k in np.flatnonzero(special).tolist():
+            each[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
         return np.concatenate([*each, np.empty(0, "<u4")]), np.cumsum([len(e) for e in each], dtype=np.int64)
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +132,7 @@ class WordIds:
 
     def _distinct(self, words: pa.Array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and lengths of the words numbered ``which``, encoded as a stem and the marks after it."""
-        marked = pc.match_substring_regex(words, rf"^\p{{L}}+[{MARKS}]+$")
+        marked = pc.and_(pc.match_substring_regex(words, rf"^\p{{L}}+[{MARKS}]+$"), pc.match_substring_regex(words, rf"{ALONE}[{MARKS}]+$"))
         stems = pc.if_else(marked, pc.utf8_rtrim(words, MARKS), words)
         marks = pc.if_else(marked, pc.replace_substring_regex(words, r"^\p{L}+", ""), "")
         units = pa.concat_arrays([stems, marks]).dictionary_encode()
@@ -160,7 +171,7 @@ class WordIds:
         return np.concatenate([*flat, np.empty(0, "<u4")]), starts, lengths
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for e in self.ordinary.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _ready: dict[str, WordIds] = {}
