@@ -86,10 +86,10 @@ def one_hop(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """key, name, type, description, sources of mentions (name, type, description, source, seq).
 
-    Names that fold alike are one entity; name and type are those first seen, the description is the longest, the first
+    Mentions without a name are left out; names that fold alike are one entity; name and type are those first seen, the description is the longest, the first
     of equals; sources are sorted.  All parts are combined before the shuffle.
     """
-    return mentions.withColumn("key", fold("name")).groupBy("key").agg(
+    return mentions.filter(F.trim("name") != "").withColumn("key", fold("name")).groupBy("key").agg(
         F.min_by("name", "seq").alias("name"),
         F.min_by("type", "seq").alias("type"),
         F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"),

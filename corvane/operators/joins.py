@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.numbers import tolerance
@@ -34,15 +34,40 @@ def nearest_earlier(left: DataFrame, right: DataFrame, by: str, at: str, pick: s
     return both.withColumn(pick, F.last(pick, True).over(before)).filter("_side = 1").drop("_side")
 
 
+#: Widths of the grids are powers of two from the first on; a rectangle stands in the grid of the first width that is no less than its own.
+WIDTHS = range(3, 24)
+
+
+def _grid_of() -> Column:
+    spread = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1.0))
+    return F.least(F.greatest(F.ceil(F.log2(spread)), F.lit(WIDTHS[0])), F.lit(WIDTHS[-1])).cast("int")
+
+
+def _cells(df: DataFrame, widths: list[int]) -> DataFrame:
+    """df with own, the grid of each rectangle, and its cells there and in all wider grids of ``widths``: four at most in each."""
+    df = df.withColumn("_own", _grid_of()).withColumn("_grid", F.explode(F.array(*map(F.lit, widths)))).filter("_grid >= _own")
+    width = F.pow(F.lit(2.0), "_grid")
+    side = lambda a, b: F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))
+    return df.withColumn("_cx", F.explode(side("x0", "x1"))).withColumn("_cy", F.explode(side("y0", "y1")))
+
+
 def outside_boxes(lines: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
-    """The lines (x0, y0, x1, y1) that no box of their page meets."""
-    b = boxes.select(*page, *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    cond = [F.col(f"l.{p}") == F.col(f"b.{p}") for p in page]
-    meet = (F.col("x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("x1")) & (F.col("y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("y1"))
-    both = meet
-    for c in cond:
-        both = c & both
-    return lines.alias("l").join(b.alias("b"), both, "left_anti")
+    """The lines (x0, y0, x1, y1, ...) that no box of their page meets; rectangles that only touch do not meet.
+
+    Lines and boxes meet by cell: two rectangles are compared in the grid whose cells are as wide as the larger of them, so a
+    page of many small boxes costs each line its neighbours, not the page.
+    """
+    line, meets = lines.columns, (F.col("x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("x1")) & (F.col("y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("y1"))
+    spot = ["x0", "y0", "x1", "y1"]
+    shapes = lines.select(*page, *spot).distinct()
+    every = boxes.select(*page, *spot).distinct()
+    reach = shapes.unionByName(every).agg(F.min(_grid_of()).alias("a"), F.max(_grid_of()).alias("b")).first()
+    if reach["a"] is None:
+        return lines
+    widths = list(range(int(reach["a"]), int(reach["b"]) + 1))
+    l, b = _cells(shapes, widths), _cells(every, widths).select(*page, "_grid", "_cx", "_cy", F.col("_own").alias("_other"), *[F.col(c).alias(f"b_{c}") for c in spot])
+    met = l.join(b, [*page, "_grid", "_cx", "_cy"]).filter((F.col("_grid") == F.greatest("_own", "_other")) & meets).select(*page, *spot).distinct()
+    return lines.join(met, [*page, *spot], "left_anti").select(*line)
 
 
 def changed(before: DataFrame, after: DataFrame, key: str, stamp: str) -> DataFrame:

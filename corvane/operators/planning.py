@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.graph import closure
+from corvane.operators.numbering import running
 from corvane.sources.scratch import saved
 
 
@@ -21,8 +22,7 @@ def violations(subtasks: DataFrame, sections: DataFrame, deliverables: DataFrame
     ids = subtasks.select("plan", F.col("id").alias("dep")).distinct()
     real = deps.join(ids, ["plan", "dep"], "left_semi").filter("id <> dep")
     key = lambda c: F.concat_ws("\u0001", F.col("plan").cast("string"), F.col(c))
-    reach = closure(real.select(key("id").alias("src"), key("dep").alias("dst")))
-    back = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("k")).distinct()
+    back = on_cycles(real.select(key("id").alias("src"), key("dep").alias("dst"))).select(F.col("node").alias("k"))
     looped = subtasks.withColumn("k", key("id")).join(back, "k", "left_semi")
     parts = [
         (deliverables.join(subtasks.select("plan"), "plan", "left_anti"), "empty", F.lit("")),
@@ -37,6 +37,36 @@ def violations(subtasks: DataFrame, sections: DataFrame, deliverables: DataFrame
     return reduce(DataFrame.unionByName, [df.select("plan", F.lit(rule).alias("rule"), item.alias("item")) for df, rule, item in parts]).distinct()
 
 
+def peeled(edges: DataFrame, rounds: int) -> DataFrame:
+    """The edges (src, dst) that stay when nodes without an edge to or from them are taken away, again and again, ``rounds`` times.
+
+    Nodes on cycles and on ways from one cycle to another keep their edges.  A round is two semi-joins.
+    """
+    left, n = saved(edges.select("src", "dst").filter("src <> dst").distinct(), "peel"), None
+    for _ in range(rounds):
+        now = left.count()
+        if now in (0, n):
+            break
+        n = now
+        entered, left_from = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = saved(left.join(entered, "src", "left_semi").join(left_from, "dst", "left_semi").select("src", "dst"), "peel")
+    return left
+
+
+def on_cycles(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """node: the nodes that reach themselves.
+
+    Peeling takes away what is on no cycle, a node from each end of every path a round; of what stays, which is little unless paths are
+    long, the closure says which nodes reach each other, in rounds that grow with the logarithm of the longest path.
+    """
+    core = peeled(edges, rounds)
+    if not core.take(1):
+        return core.select(F.col("src").alias("node"))
+    reach = closure(core)
+    back = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src")))
+    return back.select(F.col("a.src").alias("node")).distinct()
+
+
 def waves(tasks: DataFrame, deps: DataFrame, most: int = 1000) -> DataFrame:
     """task, wave: every task whose dependencies all stood in earlier waves joins the next one.
 
@@ -60,8 +90,12 @@ def waves(tasks: DataFrame, deps: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def replicas(placed: DataFrame, n: int) -> DataFrame:
-    """Adds replica: tasks of a wave dealt to ``n`` replicas in turn, by task."""
-    return placed.withColumn("replica", F.pmod(F.row_number().over(Window.partitionBy("wave").orderBy("task")) - 1, F.lit(n)))
+    """Adds replica: tasks of a wave dealt to ``n`` replicas in turn, by task, an integer.
+
+    Tasks are counted by stretches of their numbers, so no task of Spark's holds a wave.
+    """
+    counted = running(saved(placed.withColumn("_one", F.lit(1)), "placed"), ["wave"], ["task"], "task", "_one", "_before", 10_000)
+    return counted.withColumn("replica", F.pmod("_before", F.lit(n))).drop("_one", "_before")
 
 
 def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.numbering import running
+
 
 def softmax(df: DataFrame, group: str, logit: str, temperature: float = 1.0) -> DataFrame:
     """Adds p, the softmax of the logits of each group at a temperature, shifted by their maximum."""
@@ -35,10 +37,31 @@ def nucleus(df: DataFrame, group: str, item: str, p: str, mass: float) -> DataFr
 
 
 def stratified(df: DataFrame, key: str, label: str, share: float, seed: int = 42) -> DataFrame:
-    """Adds train: the first ``floor(share * n)`` rows of each label by a hash of the key."""
-    by = Window.partitionBy(label)
-    place = F.row_number().over(by.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn("train", place <= F.floor(F.count(F.lit(1)).over(by) * F.lit(share)))
+    """Adds train: the first ``floor(share * n)`` rows of each label by a hash of the key.
+
+    Rows are counted by stretches of the hash, so no task holds a label.
+    """
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_one", F.lit(1))
+    placed = running(hashed, [label], ["_hash", key], "_hash", "_one", "_before", 1 << 52)
+    return placed.join(counts, label).withColumn("train", F.col("_before") < F.floor(F.col("_n") * F.lit(share))).select(*df.columns, "train")
+
+
+def subsample(df: DataFrame, key: str, label: str, share: float, seed: int = 42) -> DataFrame:
+    """``floor(share * n)`` rows in total, dealt to the labels in proportion; all rows if ``share`` is 1.
+
+    Each label gets the floor of its part; the rows that are then missing go to the labels of the largest remainders, the first of equals.
+    """
+    if share >= 1:
+        return df
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row for each label
+    part = F.col("_n") * F.lit(share)
+    dealt = counts.crossJoin(F.broadcast(counts.agg(F.floor(F.sum("_n") * F.lit(share)).alias("_all"), F.sum(F.floor(part)).alias("_given"))))
+    by_rest = Window.orderBy(F.desc(F.round(part - F.floor(part), 9)), label)
+    dealt = dealt.withColumn("_take", F.floor(part) + (F.row_number().over(by_rest) <= F.col("_all") - F.col("_given")).cast("long"))
+    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_one", F.lit(1))
+    placed = running(hashed, [label], ["_hash", key], "_hash", "_one", "_before", 1 << 52)
+    return placed.join(dealt.select(label, "_take"), label).filter("_before < _take").select(*df.columns)
 
 
 def class_shares(df: DataFrame, label: str) -> DataFrame:

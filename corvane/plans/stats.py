@@ -103,7 +103,7 @@ def learning_curve(s: SparkSession, d: str) -> DataFrame:
     train, test = _split(s, d)
     out = None
     for share in (0.05, 0.1, 0.25, 0.5, 1.0):
-        part = M.stratified(train, "vec_id", "label", share).filter("train") if share < 1 else train
+        part = M.subsample(train, "vec_id", "label", share)
         row = M.scores(M.naive_bayes(part, test, "vec_id", "label", "embedding"), "label", "guess").withColumn("share", F.lit(share))
         out = row if out is None else out.unionByName(row)
     return out

@@ -98,6 +98,13 @@ def stream_budget(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.round(F.max("spent"), 4).alias("spent"), F.max("stopped").alias("stopped"))
 
 
+def stream_repetitions(s: SparkSession, d: str) -> DataFrame:
+    """Events stand for scripts, their user for a run and their properties for the text; purchases were rejected."""
+    e = S.event_stream(s, d)
+    scripts = e.select(F.col("user_id").alias("run"), F.md5(F.col("props").cast("binary")).alias("digest"), F.col("event_id").alias("seq"), F.timestamp_micros(utc_micros("ts")).alias("ts"), (F.col("event_type") == "purchase").alias("rejected"))
+    return S.run_available(S.repetition_stream(scripts), "append")
+
+
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
     out = S.run_available(S.windows_stream(S.event_stream(s, d)), "complete")
     return out.select(F.date_from_unix_date((F.unix_micros("window.start") / 86_400_000_000).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -105,7 +112,7 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (usage_by_type, usage_by_run, run_summary, usage_totals, usage_pivot, running_budget, attempt_numbers, latest_status, phase_times, repetition_detector, stream_usage, stream_status, stream_budget, stream_windows)
+    for f in (usage_by_type, usage_by_run, run_summary, usage_totals, usage_pivot, running_budget, attempt_numbers, latest_status, phase_times, repetition_detector, stream_usage, stream_status, stream_budget, stream_windows, stream_repetitions)
 }
 
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -131,5 +138,7 @@ SQL = {
     "stream_usage": f"SELECT event_type, count(*) AS calls, CAST(sum({_V}) AS BIGINT) AS tokens FROM events GROUP BY 1",
     "stream_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY user_id",
     "stream_budget": "SELECT user_id, round(sum(value), 4) AS spent, 500 - sum(value) <= 100 AS stopped FROM events GROUP BY user_id",
+    "stream_repetitions": """SELECT user_id AS run, md5(props) AS digest, event_id AS seq,
+      coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY user_id, md5(props) ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS repeated FROM events""",
     "stream_windows": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

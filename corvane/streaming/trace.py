@@ -65,3 +65,28 @@ def budget_stream(events: DataFrame, budget: float = SETTINGS.token_budget, rese
         yield pd.DataFrame({"user_id": [key[0]], "spent": [spent], "stopped": [budget - spent <= reserve]})
 
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, spent double, stopped boolean", "spent double", "update", GroupStateTimeout.NoTimeout)
+
+
+def repetition_stream(scripts: DataFrame, late: str = "7 days", forget: str = "7 days") -> DataFrame:
+    """run, digest, seq, repeated: the batch rule as a stream, for rows (run, digest, seq, ts timestamp, rejected) that come in order of seq.
+
+    The state is one flag for each run and digest, so a run of any number of scripts is spread over all tasks; a pair that no
+    script has touched for ``forget`` beyond the watermark is dropped.
+    """
+    keep_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rejected = state.get[0] if state.exists else False
+        rows = pd.concat(list(batches)).sort_values("seq")
+        earlier = rows["rejected"].fillna(False).astype(bool)
+        before = earlier.cummax().shift(fill_value=False) | rejected
+        state.update((bool(rejected or earlier.any()),))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame({"run": key[0], "digest": key[1], "seq": rows["seq"].to_numpy(), "repeated": before.to_numpy()})
+
+    keyed = scripts.select("run", "digest", "seq", "ts", "rejected").withWatermark("ts", late).groupBy("run", "digest")
+    types = {f.name: f.dataType.simpleString() for f in scripts.schema}
+    return keyed.applyInPandasWithState(update, f"run {types['run']}, digest {types['digest']}, seq {types['seq']}, repeated boolean", "rejected boolean", "append", GroupStateTimeout.EventTimeTimeout)
