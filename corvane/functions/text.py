@@ -200,3 +200,19 @@ def heading_positions(df: DataFrame, key: str, targets: DataFrame, text: str = "
     wanted = targets.withColumn("target", fold("section"))
     hit = (F.col("h") == F.col("target")) | F.startswith(F.col("h"), F.concat("target", F.lit(" "))) & (F.length("h") <= F.length("target") + SETTINGS.heading_slack)
     return wanted.join(lines, key, "left").groupBy(key, "section").agg(F.coalesce(F.min(F.when(hit, F.col("at"))), F.lit(-1)).cast("long").alias("pos"))
+
+
+def filled_sections(items: DataFrame, doc: str) -> DataFrame:
+    """doc, section, title, level, page, text: the items of a document (doc, pos, level, text, page) gathered below their headings.
+
+    An item with a level is a heading; text before any heading stands in a section without title, of level 0.  Texts are joined by an
+    empty line.
+    """
+    upto = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = items.withColumn("section", F.sum(F.col("level").isNotNull().cast("long")).over(upto))
+    head = F.col("level").isNotNull()
+    body = F.array_sort(F.collect_list(F.when(~head, F.struct("pos", "text"))))
+    return placed.groupBy(doc, "section").agg(
+        F.coalesce(F.max(F.when(head, F.trim(F.regexp_replace("text", r"\s+", " ")))), F.lit("")).alias("title"), F.coalesce(F.max("level"), F.lit(0)).alias("level"),
+        F.min_by("page", "pos").alias("page"), F.array_join(F.transform(body, lambda x: x["text"]), "\n\n").alias("text"),
+    )

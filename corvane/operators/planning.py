@@ -105,6 +105,16 @@ def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return tasks.filter("status = 'pending'").join(waiting, "task", "left_anti")
 
 
+def first_ready(tasks: DataFrame, deps: DataFrame, plan: str) -> DataFrame:
+    """plan, task: of each plan's ready tasks the first in the plan's order.  tasks (plan, task, ord, status), deps (plan, task, dep).
+
+    A task is known by its plan and number, so plans meet no other plan's rows.
+    """
+    terminal = tasks.filter(F.col("status").isin("approved", "done", "failed", "skipped")).select(plan, F.col("task").alias("dep"))
+    waiting = deps.join(terminal, [plan, "dep"], "left_anti").select(plan, "task")
+    return tasks.filter("status = 'pending'").join(waiting, [plan, "task"], "left_anti").groupBy(plan).agg(F.min_by("task", "ord").alias("task"))
+
+
 def branch(tasks: DataFrame, deps: DataFrame, chosen: DataFrame) -> DataFrame:
     """branch, task: each chosen task with its direct dependencies only."""
     own = chosen.select(F.col("task").alias("branch"), "task")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import checks as C
 from corvane.operators import scripts as P
+from corvane.sources import files
 from corvane.sources.tables import table
 
 
@@ -131,7 +132,61 @@ def cells_intact(s: SparkSession, d: str) -> DataFrame:
     return C.cells_intact(cells, rules, "conv_id")
 
 
-QUERIES = {f.__name__: f for f in (provenance_solver, provenance_eval, exec_checks, format_checks, golden_checks, golden_summary, contains_words, guard_scripts, leakage_scripts, cells_intact)}
+def _notebooks(s: SparkSession, d: str) -> DataFrame:
+    """Conversations written as notebooks, one JSON text each: users' turns as Markdown cells, the others' as code that was run."""
+    c = table(s, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t"))
+    lines = F.transform(F.split("t", " "), lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)))
+    code = F.col("role") != "user"
+    out = F.struct(F.when(F.col("turn") % 5 == 3, "error").otherwise("stream").alias("output_type"), F.concat(F.lit("acc "), (F.length("t") / 100).cast("decimal(10,2)").cast("string"), F.lit("\n")).alias("text"), F.struct(F.col("role").alias("text/plain"), F.when(F.col("turn") % 4 == 1, "iVBO").alias("image/png")).alias("data"))
+    cell = F.struct(F.when(code, "code").otherwise("markdown").alias("cell_type"), F.col("turn").cast("string").alias("id"), lines.alias("source"), F.when(code & (F.col("turn") % 7 > 0), F.col("turn")).alias("execution_count"), F.when(code, F.array(out)).alias("outputs"))
+    own = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.to_json(cell).alias("c")))).alias("l"))
+    return own.select(F.col("conv_id").cast("string").alias("path"), F.concat(F.lit('{"cells": ['), F.array_join(F.transform("l", lambda x: x["c"]), ","), F.lit("]}")).alias("text"))
+
+
+def notebook_texts(s: SparkSession, d: str) -> DataFrame:
+    """The text of each notebook, without and with what its cells put out, as digests."""
+    cells = files.cells_of(_notebooks(s, d))
+    prose, whole = files.notebook_text(cells), files.notebook_text(cells, True)
+    digest = lambda df, name: df.select("path", F.md5(F.col("text").cast("binary")).alias(name))
+    return digest(prose, "prose").join(digest(whole, "whole"), "path")
+
+
+def notebook_runs(s: SparkSession, d: str) -> DataFrame:
+    """Cells, cells run and errors of each notebook, and whether it is fully executed."""
+    r = files.notebooks_run(files.cells_of(_notebooks(s, d)))
+    return r.withColumn("done", (F.col("cells") > 0) & (F.col("cells") == F.col("cells_run")) & (F.col("cell_errors") == 0))
+
+
+def notebook_numbers(s: SparkSession, d: str) -> DataFrame:
+    """The distinct numbers that cells of notebooks put out."""
+    cells = files.cells_of(_notebooks(s, d))
+    return files.artifact_numbers(cells.select("source").limit(0).withColumnRenamed("source", "text"), cells).select(F.round("value", 4).alias("value"))
+
+
+def archived_files(s: SparkSession, d: str) -> DataFrame:
+    """Orders as runs, lines as files; a picture in the notebook will do."""
+    li = table(s, d, "lineitem")
+    paths = li.select(F.col("l_orderkey").alias("run"), F.concat(F.when(F.col("l_quantity") > 25, "fig/").otherwise(""), F.lit("f"), F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 3 == 0, ".png").otherwise(".csv")).alias("path"))
+    shown = li.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("run"), (F.col("l_suppkey") % 4 == 0).cast("int").alias("pictures"))
+    return C.archived(paths, r"(^|/)[^/]*\.png$", 2, shown)
+
+
+def main_files(s: SparkSession, d: str) -> DataFrame:
+    """The deliverable of every order: the first CSV file at the top, else the first anywhere."""
+    li = table(s, d, "lineitem")
+    paths = li.select(F.col("l_orderkey").alias("run"), F.concat(F.when(F.col("l_quantity") > 15, "out/").otherwise(""), F.lit("f"), F.col("l_linenumber").cast("string"), F.when(F.col("l_partkey") % 3 == 0, ".png").otherwise(".csv")).alias("path"))
+    return files.main_file(paths, "*.csv")
+
+
+def pending_cells(s: SparkSession, d: str) -> DataFrame:
+    """Turns as cells to be written: tagged by role, every third protected; those of the system are excepted."""
+    c = table(s, d, "conversations").select("conv_id", F.col("turn").alias("pos"), "role", "text")
+    rules = c.select("conv_id", "pos", F.concat(F.lit("c"), "pos").alias("cell_id"), F.when(F.col("pos") % 3 == 0, "x").alias("sha256"), F.array("role").alias("tags"))
+    source = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("# T\n\nESCRIBE AQUÍ "), "text")).when(F.col("conv_id") % 5 == 1, F.concat(F.lit("# T\n\n  "), F.substring("text", 1, 9))).otherwise(F.concat(F.lit("# T\n\n"), "text"))
+    return C.pending_cells(c.select("conv_id", "pos", source.alias("source")), rules, "conv_id", ["system"])
+
+
+QUERIES = {f.__name__: f for f in (notebook_texts, notebook_runs, notebook_numbers, archived_files, main_files, pending_cells, provenance_solver, provenance_eval, exec_checks, format_checks, golden_checks, golden_summary, contains_words, guard_scripts, leakage_scripts, cells_intact)}
 
 _FORMS = """m AS (SELECT DISTINCT l_extendedprice AS v FROM lineitem UNION SELECT DISTINCT l_partkey / 10000.0::DOUBLE FROM lineitem), given AS (SELECT DISTINCT round(o_totalprice, 2) AS v FROM orders WHERE o_orderkey % 11 = 0),
   f AS (SELECT o_orderkey AS id, 0 AS seq, 0 AS form, round(o_totalprice, 2) AS v, 2 AS d, printf('%.2f', o_totalprice) AS raw FROM orders
@@ -191,4 +246,14 @@ SQL = {
       UNION SELECT s.k, CAST(coalesce(x.first, y.first) AS INTEGER), 'fitted_before_split', s.of FROM s LEFT JOIN f x ON x.k = s.k AND x.v = s.v LEFT JOIN f y ON y.k = s.k AND y.v = s.of WHERE coalesce(x.first, y.first) < s.line""",
     "cells_intact": """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
       SELECT conv_id, NOT (conv_id % 9 = 0 OR conv_id % 14 = 0) AS intact FROM c""",
+    "notebook_texts": """SELECT CAST(conv_id AS VARCHAR) AS path, md5(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '')) AS prose,
+      md5(string_agg(CASE WHEN role = 'user' THEN text ELSE 'acc ' || CAST(CAST(length(text) / 100 AS DECIMAL(10, 2)) AS VARCHAR) || chr(10) || chr(10) || role END, chr(10) ORDER BY turn)) AS whole FROM conversations GROUP BY conv_id""",
+    "notebook_runs": """WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS path, CAST(count(*) FILTER (role <> 'user') AS BIGINT) AS cells, CAST(count(*) FILTER (role <> 'user' AND turn % 7 > 0) AS BIGINT) AS cells_run, CAST(count(*) FILTER (role <> 'user' AND turn % 5 = 3) AS BIGINT) AS cell_errors FROM conversations GROUP BY conv_id)
+      SELECT *, cells > 0 AND cells = cells_run AND cell_errors = 0 AS done FROM r""",
+    "notebook_numbers": "SELECT DISTINCT round(CAST(CAST(length(text) / 100 AS DECIMAL(10, 2)) AS DOUBLE), 4) AS value FROM conversations WHERE role <> 'user'",
+    "archived_files": """SELECT l_orderkey AS run, count(*) FILTER (l_partkey % 3 = 0) AS n, count(*) FILTER (l_partkey % 3 = 0) >= 2 OR coalesce(bool_or(l_linenumber = 1 AND l_suppkey % 4 = 0), FALSE) AS ok FROM lineitem GROUP BY l_orderkey""",
+    "main_files": """WITH f AS (SELECT l_orderkey AS run, l_quantity > 15 AS deep, 'f' || l_linenumber || '.csv' AS name FROM lineitem WHERE l_partkey % 3 <> 0)
+      SELECT run, coalesce(min(name) FILTER (NOT deep), min('out/' || name)) AS path FROM f GROUP BY run""",
+    "pending_cells": """SELECT conv_id, 'c' || turn AS cell_id FROM conversations WHERE role <> 'system' AND turn % 3 <> 0
+      AND (conv_id % 5 = 0 OR contains(text, 'ESCRIBE AQUÍ') OR length(trim(CASE WHEN conv_id % 5 = 1 THEN substring(text, 1, 9) ELSE text END)) < 10)""",
 }

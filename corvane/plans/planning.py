@@ -50,10 +50,21 @@ def plan_violations(s: SparkSession, d: str) -> DataFrame:
     return P.violations(tasks, sections, made)
 
 
-QUERIES = {f.__name__: f for f in (round_robin_waves, ready_set, branch_payload, keyed_state, plan_violations)}
+def first_ready(s: SparkSession, d: str) -> DataFrame:
+    """The first ready line of every order: a line waits for the one before it, or for the first."""
+    li = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").cast("long").alias("task")).agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("q"))
+    tasks = li.select("plan", "task", F.col("task").alias("ord"), F.get(F.array(*map(F.lit, _STATUS)), (F.col("p") % 6).cast("int")).alias("status"))
+    deps = li.filter("task > 1").select("plan", "task", F.when(F.col("q") % 2 == 0, F.col("task") - 1).otherwise(F.lit(1)).alias("dep"))
+    return P.first_ready(tasks, deps, "plan")
+
+
+QUERIES = {f.__name__: f for f in (round_robin_waves, ready_set, branch_payload, keyed_state, plan_violations, first_ready)}
 
 _T = "t AS (SELECT p_partkey AS task, (['pending', 'approved', 'done', 'failed', 'skipped', 'running'])[p_size % 6 + 1] AS status FROM part)"
 SQL = {
+    "first_ready": """WITH l AS (SELECT l_orderkey AS plan, l_linenumber AS task, max(l_partkey) AS p, max(l_suppkey) AS q FROM lineitem GROUP BY 1, 2),
+      t AS (SELECT plan, task, (['pending', 'approved', 'done', 'failed', 'skipped', 'running'])[p % 6 + 1] AS status, CASE WHEN task > 1 THEN CASE WHEN q % 2 = 0 THEN task - 1 ELSE 1 END END AS dep FROM l)
+      SELECT plan, CAST(min(task) AS BIGINT) AS task FROM t WHERE status = 'pending' AND (dep IS NULL OR EXISTS (SELECT 1 FROM t u WHERE u.plan = t.plan AND u.task = t.dep AND u.status IN ('approved', 'done', 'failed', 'skipped'))) GROUP BY plan""",
     "round_robin_waves": """WITH w AS (SELECT p_partkey AS task, CASE WHEN p_partkey < 2 THEN 0 ELSE CAST(floor(log2(p_partkey)) AS INTEGER) END AS wave FROM part)
       SELECT task, wave, CAST((row_number() OVER (PARTITION BY wave ORDER BY task) - 1) % 2 AS INTEGER) AS replica FROM w""",
     "ready_set": f"WITH {_T} SELECT task FROM t WHERE status = 'pending' AND (task < 2 OR EXISTS (SELECT 1 FROM t u WHERE u.task = t.task // 2 AND u.status IN ('approved', 'done', 'failed', 'skipped')))",

@@ -72,6 +72,13 @@ def json_flatten(s: SparkSession, d: str) -> DataFrame:
     return flat.select("event_id", "path", "value")
 
 
+def section_fill(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents: turns of users are headings, of level 1 or 2, the others text below them."""
+    c = table(s, d, "conversations").groupBy("conv_id", F.col("turn").alias("pos")).agg(F.max("role").alias("role"), F.max("text").alias("text"))
+    items = c.select("conv_id", "pos", F.when(F.col("role") == "user", F.col("pos") % 2 + 1).alias("level"), F.when(F.col("role") == "user", F.concat(F.lit("Turn  "), "pos")).otherwise(F.col("text")).alias("text"), F.floor(F.col("pos") / 3).alias("page"))
+    return X.filled_sections(items, "conv_id").select("conv_id", "section", "title", "level", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def snippets(s: SparkSession, d: str) -> DataFrame:
     """What stands around the first full stop of each document."""
     at = F.instr("text", ".")
@@ -114,11 +121,14 @@ def islands(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (chunk_documents, page_sections, markdown_sections, heading_positions, fold_and_slug, word_counts, number_mentions, json_props, json_flatten, snippets, replace_by_key, cache_miss, font_levels, islands)
+    for f in (chunk_documents, page_sections, markdown_sections, heading_positions, fold_and_slug, word_counts, number_mentions, json_props, json_flatten, section_fill, snippets, replace_by_key, cache_miss, font_levels, islands)
 }
 
 _FOLD = r"trim(regexp_replace(strip_accents(lower({x})), '[^a-z0-9]+', ' ', 'g'))"
 SQL = {
+    "section_fill": """WITH c AS (SELECT conv_id, turn, max(role) AS role, max(text) AS text FROM conversations GROUP BY 1, 2),
+      p AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM c)
+      SELECT conv_id, CAST(section AS BIGINT) AS section, coalesce('Turn ' || max(turn) FILTER (role = 'user'), '') AS title, coalesce(max(turn % 2 + 1) FILTER (role = 'user'), 0) AS level, min(turn) // 3 AS page, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role <> 'user'), '')) AS text_md5 FROM p GROUP BY 1, 2""",
     "chunk_documents": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t FROM documents),
       p AS (SELECT doc_id, i AS chunk_idx, t[i * 1200 + 1 : (i + 1) * 1200] AS piece, CASE WHEN i > 0 THEN right(t[(i - 1) * 1200 + 1 : i * 1200], 200) || chr(10) || chr(10) ELSE '' END AS carried
             FROM (SELECT doc_id, t, unnest(range(0, (length(t) + 1199) // 1200)) AS i FROM t))

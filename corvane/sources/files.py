@@ -42,13 +42,82 @@ def _joined(v: Column) -> Column:
     return F.coalesce(F.when(lines.isNotNull(), F.array_join(lines, "")), F.try_variant_get(v, "$", "string"), F.lit(""))
 
 
+def cells_of(raw: DataFrame) -> DataFrame:
+    """path, pos, cell_type, cell_id, source, execution_count, outputs, output, errors, pictures of every cell of the notebooks ``raw`` (path, text).
+
+    outputs holds the parts of each output that are text, in the order text, text/plain, text/markdown; output joins the first two of each.
+    """
+    c = raw.select("path", F.from_json("text", NOTEBOOK).alias("nb")).select("path", F.posexplode("nb.cells").alias("pos", "c"))
+    made = F.coalesce("c.outputs", F.array())
+    data = lambda o, kind: _joined(F.try_variant_get(o["data"], f"$['{kind}']", "variant"))
+    outputs = F.transform(made, lambda o: F.struct(_joined(o["text"]).alias("text"), data(o, "text/plain").alias("plain"), data(o, "text/markdown").alias("markdown")))
+    errors = F.size(F.filter(made, lambda o: o["output_type"] == "error"))
+    pictures = F.size(F.filter(made, lambda o: F.try_variant_get(o["data"], "$['image/png']", "variant").isNotNull()))
+    joined = F.array_join(F.transform(outputs, lambda o: F.concat(o["text"], o["plain"])), "\n")
+    return c.select("path", "pos", "c.cell_type", F.col("c.id").alias("cell_id"), _joined(F.col("c.source")).alias("source"), "c.execution_count", outputs.alias("outputs"), joined.alias("output"), errors.alias("errors"), pictures.alias("pictures"))
+
+
+def notebooks(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of the notebooks below a folder."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.ipynb").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def notebook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, cell_type, cell_id, source, execution_count, output, errors of every cell of the notebooks below a folder."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.ipynb").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", NOTEBOOK).alias("nb"))
-    c = raw.select("path", F.posexplode("nb.cells").alias("pos", "c"))
-    out = F.transform(F.coalesce("c.outputs", F.array()), lambda o: F.concat(_joined(o["text"]), _joined(F.try_variant_get(o["data"], "$['text/plain']", "variant"))))
-    errors = F.size(F.filter(F.coalesce("c.outputs", F.array()), lambda o: o["output_type"] == "error"))
-    return c.select("path", "pos", "c.cell_type", F.col("c.id").alias("cell_id"), _joined(F.col("c.source")).alias("source"), "c.execution_count", F.array_join(out, "\n").alias("output"), errors.alias("errors"))
+    """The cells of the notebooks below a folder, as of :func:`cells_of`."""
+    return cells_of(notebooks(spark, path))
+
+
+def notebook_text(cells: DataFrame, outputs: bool = False, evaluator: bool = False) -> DataFrame:
+    """path, text: the Markdown cells of each notebook, a line each, with the text of what the others put out if asked.
+
+    The evaluator takes only what code cells put out, Markdown among it, and only parts that are there; the solver takes two parts of
+    each output, empty ones too.
+    """
+    o = F.transform("outputs", lambda x: F.filter(F.array(x["text"], x["plain"], x["markdown"]), lambda t: t != "") if evaluator else F.array(x["text"], x["plain"]))
+    others = F.flatten(o) if outputs else F.array().cast("array<string>")
+    if evaluator:
+        others = F.when(F.col("cell_type") == "code", others).otherwise(F.array().cast("array<string>"))
+    parts = F.when(F.col("cell_type") == "markdown", F.array("source")).otherwise(others)
+    own = cells.select("path", "pos", parts.alias("parts")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "parts"))).alias("p"))  # one notebook's cells
+    return own.select("path", F.array_join(F.flatten(F.transform("p", lambda x: x["parts"])), "\n").alias("text"))
+
+
+def deliverables(spark: SparkSession, path: str, outputs: bool = False, evaluator: bool = False) -> DataFrame:
+    """path, name, text of the Markdown and text files and notebooks below a folder; a notebook's text is that of :func:`notebook_text`."""
+    plain = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,txt}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return plain.unionByName(notebook_text(notebook_cells(spark, path), outputs, evaluator)).withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
+def input_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of what a solver was given: Markdown, text, and the sources of all cells of notebooks, but for environments, outputs and caches."""
+    sources = notebook_cells(spark, path).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "source"))).alias("p")).select("path", F.array_join(F.transform("p", lambda x: x["source"]), "\n").alias("text"))
+    plain = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,txt}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    root = F.lit(path.rstrip("/") + "/")
+    below = F.when(F.instr("path", root) > 0, F.substring("path", F.instr("path", root) + F.length(root), F.length("path"))).otherwise(F.col("path"))
+    return plain.unionByName(sources).filter(~below.rlike(r"(^|/)(\.venv|output|__pycache__)/"))
+
+
+def main_file(files: DataFrame, name: str) -> DataFrame:
+    """run, path: the deliverable of each run (run, path below its folder): the first of that name pattern at the top, else the first anywhere.
+
+    ``name`` is a pattern of file names in which * stands for anything.
+    """
+    pattern = "^" + name.replace(".", r"\.").replace("*", "[^/]*") + "$"
+    hit = files.filter(F.element_at(F.split("path", "/"), -1).rlike(pattern))
+    return hit.groupBy("run").agg(F.coalesce(F.min(F.when(~F.contains("path", F.lit("/")), F.col("path"))), F.min("path")).alias("path"))
+
+
+def documents_of(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """path, name, doc (variant) of the JSON files below a folder: golden sets, plans, contracts, caches; doc is null where a file is no JSON."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.try_parse_json("value").alias("doc"))
+
+
+def golden(docs: DataFrame) -> DataFrame:
+    """task, check, kind, spec (variant) of the golden sets ``docs`` (doc): a row for each check of each task, in order."""
+    tasks = docs.select(F.posexplode(F.try_variant_get("doc", "$.tareas", "array<variant>")).alias("n", "t"))
+    checks = tasks.select(F.try_variant_get("t", "$.id", "string").alias("task"), F.posexplode(F.try_variant_get("t", "$.checks", "array<variant>")).alias("check", "spec"))
+    return checks.select("task", "check", F.try_variant_get("spec", "$.tipo", "string").alias("kind"), "spec")
 
 
 def notebooks_run(cells: DataFrame) -> DataFrame:
@@ -68,9 +137,12 @@ def artifacts(spark: SparkSession, path: str, exclude: DataFrame | None = None,
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def artifact_numbers(texts_: DataFrame) -> DataFrame:
-    """The distinct values that stand in the texts."""
-    return texts_.select(F.explode(mentions("text", UNSIGNED)).alias("m")).select(F.col("m.value").alias("value")).filter("value is not null").distinct()
+def artifact_numbers(texts_: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """The distinct values that stand in the texts, and in what the cells of notebooks put out."""
+    own = texts_.select("text")
+    if cells is not None:
+        own = own.unionByName(cells.select(F.explode("outputs").alias("o")).select(F.concat("o.text", "o.plain").alias("text")))
+    return own.select(F.explode(mentions("text", UNSIGNED)).alias("m")).select(F.col("m.value").alias("value")).filter("value is not null").distinct()
 
 
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -91,6 +163,17 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").csv(path, header=True)
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Adds the rows to a folder of JSON lines."""
+    df.write.mode("append").json(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes and edges as folders of JSON lines, below ``path``."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
 def markdown_table(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """line, text: a Markdown table, one row for each line; the header and its rule come first."""
     spark = df.sparkSession
