@@ -92,10 +92,14 @@ def waves(tasks: DataFrame, deps: DataFrame, most: int = 1000) -> DataFrame:
 def replicas(placed: DataFrame, n: int) -> DataFrame:
     """Adds replica: tasks of a wave dealt to ``n`` replicas in turn, by task, an integer.
 
-    Tasks are counted by stretches of their numbers, so no task of Spark's holds a wave.
+    Tasks are counted by stretches of their numbers, or of the first bytes of their names, so no task of Spark's holds a wave.
     """
-    counted = running(saved(placed.withColumn("_one", F.lit(1)), "placed"), ["wave"], ["task"], "task", "_one", "_before", 10_000)
-    return counted.withColumn("replica", F.pmod("_before", F.lit(n))).drop("_one", "_before")
+    number, width = F.col("task"), 10_000
+    if placed.schema["task"].dataType.simpleString() == "string":
+        number, width = F.conv(F.rpad(F.hex(F.substring(F.col("task").cast("binary"), 1, 6)), 12, "0"), 16, 10), 1 << 16
+    at = saved(placed.withColumn("_one", F.lit(1)).withColumn("_number", number.cast("long")), "placed")
+    counted = running(at, ["wave"], ["_number", "task"], "_number", "_one", "_before", width)
+    return counted.withColumn("replica", F.pmod("_before", F.lit(n))).drop("_one", "_number", "_before")
 
 
 def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
