@@ -1,10 +1,11 @@
 """Personal data: generators propose overlapping spans, boosted trees judge them, calibrated thresholds select.
 
 Base spans (email, ip, card, phone by format and check) always stay.  The generators look beyond them, at every run of
-digits, every @ or (at), and every quoted value after = or :, and propose spans of the kinds below; many proposals are
-wrong or overlap.  For each the trees read format features (length, digits, separators, group sizes, checks, letters by
+digits, every @ or (at), every quoted value after = or :, every value after a cue of secrets, quoted or not, and every
+long mark, and propose spans of the kinds below; many proposals are wrong or overlap.  For each the trees read format features (length, digits, separators, group sizes, checks, letters by
 kind) and context features (cue words before it, marks around it).  A proposal whose calibrated chance reaches its kind's
-threshold becomes a span; of overlapping ones the likeliest stays, and none may touch a base span.
+threshold becomes a span; of overlapping ones the likeliest stays, at equal chance the more specific kind
+(SPECIFIC), then the longer, then the first; none may touch a base span.
 
 The trees are trained in the driver on TRAIN_ROWS labelled examples that :func:`examples` writes from format grammars
 with a fixed seed (true forms and look-alikes: dates, versions, prices, order numbers, hashes of files), so the
@@ -33,6 +34,8 @@ BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds.
 ADDED = ("mail", "number", "ssn", "secret")
 KINDS = BASE + ADDED
+#: Kinds whose form says more come first where chances are equal.
+SPECIFIC = ("ssn", "mail", "secret", "number")
 TRAIN_ROWS, HELD_ROWS, PRECISION = 4000, 2000, 0.99
 
 _DIGITS = re.compile(r"[0-9]++")
@@ -41,14 +44,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _AT = re.compile(r"\s?[(\[]\s?at\s?[)\]]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[A-Za-z0-9-]+)+")
 _VALUE = re.compile(r"[=:]\s*[\"']([^\"'\s]{8,}+)[\"']")
+_CUED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|key|bearer|credentials?|contraseña|clave|passwort|kennwort|mot de passe)[\"']?\s{0,2}(?:[=:]\s{0,2}|\s)[\"']?([^\"'\s,;<>()\[\]{}]{6,}+)")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{20,}+")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Digits that go on before or after a proposal: joined by a mark, or set apart by a space.
 _BESIDE = [re.compile(r"[0-9][-./(]$"), re.compile(r"[0-9][)./-]? [(+]?$"), re.compile(r"^[-./)][0-9]"), re.compile(r"^[)./-]? [(]?[0-9]")]
 _CUES = {
-    "phone": re.compile(r"(?i)\b(tel|phone|call|mobile|cell|fax|contact|reach|dial|text me|whatsapp|telefon|téléphone|teléfono|appelez)\W*\w*\W*$"),
+    "phone": re.compile(r"(?i)\b(tel|phone|call|mobile|cell|fax|contact|reach|dial|text me|whatsapp|telefon|téléphone|teléfono|appelez|móvil|llame|portable|handy|anrufen|rufen)\W*\w*\W*$"),
     "id": re.compile(r"(?i)\b(ssn|social security|tax id|passport|national id|id number|licen[cs]e no)\W*\w*\W*$"),
-    "secret": re.compile(r"(?i)(token|secret|passw(or)?d|api[_ -]?key|access[_ -]?key|bearer|credential|private[_ -]?key)\W*$"),
+    "secret": re.compile(r"(?i)(token|secret|passw(or)?d|api[_ -]?key|access[_ -]?key|bearer|credentials?|private[_ -]?key|passwd|pwd|(aws|ssh|secret)[_ -]?key|contraseña|clave|passwort|kennwort|mot de passe)\W*$"),
     "other": re.compile(r"(?i)\b(order|invoice|isbn|version|page|price|date|ref|no|id|sha|commit|checksum|md5|build|release|ticket)\W*$"),
 }
 
@@ -112,6 +116,8 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, in
     if '"' in text or "'" in text:
         for m in _VALUE.finditer(text):
             yield m.start(1), m.end(1), "secret"
+    for m in _CUED.finditer(text):
+        yield m.start(1), m.start(1) + len(m.group(1).rstrip(".:!?")), "secret"
     if runs:
         for m in _TOKEN.finditer(text):
             if _DIGITS.search(text, m.start(), m.end()):
@@ -153,16 +159,27 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, int, int, str]], np.nda
     digits = lambda k: "".join(map(str, r.integers(0, 10, k)))
     chars = lambda k, of: "".join(of[int(i)] for i in r.integers(0, len(of), k))
     low, hexa, mixed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     word = lambda: chars(int(r.integers(2, 9)), low)
 
+    def cue() -> str:
+        """What stands before a value that may be secret, without a quote."""
+        return pick("password", "passwd", "pwd", "token", "secret", "api_key", "API key", "AWS key", "access key", "credential", "contraseña", "mot de passe", "Passwort") + pick("=", " = ", ": ", ":", " ")
+
+    def chosen() -> str:
+        """A password as people choose them: words, digits and marks."""
+        return pick(word() + word() + digits(int(r.integers(1, 4))), word() + digits(1) + word(), word().capitalize() + pick("!", "@", "#", "$", "_") + digits(int(r.integers(2, 5))) + word(), word() + "-" + digits(4) + word())
+
     def true_form() -> tuple[str, str, str]:
         kind = pick("mail", "number", "ssn", "secret", "secret")
         if kind == "mail":
             return kind, pick("mail ", "", f"{word()} "), word() + pick(" (at) ", "(at)", " [at] ") + word() + pick(".", " (dot) ", " [dot] ") + pick("com", "org", "net", "de", "fr")
         if kind == "number":
-            return kind, pick("call ", "phone: ", "tel. ", "Tel: ", "mobile ", "contact "), pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(3)} {digits(4)}")
+            return kind, pick("call ", "phone: ", "tel. ", "tel ", "Tel: ", "mobile ", "contact ", "teléfono ", "téléphone : ", "Telefon: ", "móvil ", "appelez "), phone()
         if kind == "ssn":
             return kind, pick("ssn ", "SSN: ", "social security ", "", f"{word()} "), f"{digits(3)}-{digits(2)}-{digits(4)}"
+        if pick(True, False):
+            return kind, cue(), pick(chosen(), chosen(), "AKIA" + chars(16, capitals), chars(int(r.integers(8, 20)), mixed), chars(40, hexa))
         return kind, pick('token = "', 'secret = "', 'api_key: "', "password='", 'access_key = "', "Bearer "), pick(chars(40, hexa), chars(32, hexa), chars(int(r.integers(20, 44)), mixed), chars(int(r.integers(20, 44)), mixed), chars(int(r.integers(44, 2500)), mixed))
 
     def look_alike() -> tuple[str, str, str]:
@@ -173,10 +190,16 @@ def examples(n: int, seed: int) -> tuple[list[tuple[str, int, int, str]], np.nda
             return kind, pick("order ", "isbn ", "invoice no ", "on ", "version ", "date ", "ref ", "$", f"{word()} ", f"{word()} "), pick(f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/20{digits(2)}", digits(8), digits(int(r.integers(7, 18))), f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(1)}.{digits(2)}.{digits(4)}", f"19{digits(2)} - 20{digits(2)}")
         if kind == "ssn":
             return kind, pick("order ", "ref ", "ticket "), f"{digits(3)}-{digits(2)}-{digits(4)}"
+        if pick(True, False, False):
+            return kind, cue(), pick(word() + word(), word() + "-" + word(), f"{word()}_{word()}", word().capitalize() + word(), "*" * int(r.integers(6, 12)), f"{word()}/{word()}/{word()}", f"20{digits(2)}-{digits(2)}-{digits(2)}")
         return kind, pick("commit ", "sha ", "checksum ", "md5: ", f"{word()} ", 'title = "', 'name: "', "build "), pick(chars(40, hexa), chars(32, hexa), "-".join(word() for _ in range(5)) + digits(1), word() + word() + word() + digits(2), digits(24))
 
     def phone() -> str:
-        return pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(3)} {digits(4)}")
+        area = digits(2)
+        return pick(
+            f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{area} {digits(3)} {digits(4)}",
+            f"0{area[0]} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{area[0]}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}", f"9{area} {digits(3)} {digits(3)}", f"6{area} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(3)}/{digits(7)}", f"0{area} {digits(7)}",
+        )
 
     def beside() -> tuple[str, list[tuple[int, int]]]:
         """Numbers in a row, or after a date, and where they are."""
@@ -233,11 +256,11 @@ def find(text: str | None, trees: Boosted, limits: np.ndarray) -> tuple[list, li
     taken = bytearray(len(text))
     for a, b, _ in base:
         taken[a:b] = b"\1" * (b - a)
-    proposed = [c for c in dict.fromkeys(candidates(text, runs)) if taken.find(1, c[0], c[1]) < 0] if runs or '"' in text or "'" in text or "(" in text or "[" in text else []
+    proposed = [c for c in dict.fromkeys(candidates(text, runs)) if taken.find(1, c[0], c[1]) < 0] 
     added: list[tuple[int, int, str]] = []
     if proposed:
         chance = trees.chance(np.array([describe(text, *c) for c in proposed]))
-        for i in sorted(range(len(proposed)), key=lambda i: (-chance[i], proposed[i])):
+        for i in sorted(range(len(proposed)), key=lambda i: (-chance[i], SPECIFIC.index(proposed[i][2]), proposed[i][0] - proposed[i][1], proposed[i])):
             a, b, kind = proposed[i]
             if chance[i] >= limits[ADDED.index(kind)] and taken.find(1, a, b) < 0:
                 taken[a:b] = b"\1" * (b - a)
