@@ -16,7 +16,7 @@ input.  Of paths of the same weight the one found first stays, as in the library
 
 No path is searched twice for what stands between two cuts.  A place is a cut if no piece holds the two characters beside
 it: between a character and the space mark after it, around a line feed, between a letter and a mark of punctuation.
-Batches are cut by Arrow, their distinct parts are looked up among up to PARTS remembered ones, and ids are gathered by
+Batches are cut by Arrow, their distinct parts are looked up among up to PARTS remembered ones of at most STORED bytes, and ids are gathered by
 numpy.  Models in which these places are no cuts go text by text instead.  Runs of space marks, whose pieces all tie, are
 joined from the left as BPE does.
 
@@ -44,6 +44,8 @@ from corvane.llm.wordcache import MARKS, gather
 MARK = "\u2581"
 #: Parts whose ids a worker remembers, and arcs between pieces; beyond it those that the batch does not use are forgotten.
 PARTS, ARCS = 1_000_000, 2_000_000
+#: The bytes of remembered parts, which bounds the store where parts are long.
+STORED = 128 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2
 #: How much worse than the worst piece an unknown character is to a unigram model; fixed value.
@@ -257,13 +259,12 @@ class Transducer:
 
     def run(self, k: int) -> list[int]:
         """The ids of k space marks in a row: the leftmost neighbours that form a piece merge until none do."""
-        sizes, at = [1] * k, 0
-        while at < len(sizes) - 1:
-            if sizes[at] + sizes[at + 1] in self.marks:
-                sizes[at : at + 2] = [sizes[at] + sizes[at + 1]]
-                at = max(0, at - 1)
-            else:
-                at += 1
+        sizes: list[int] = []
+        for _ in range(k):
+            sizes.append(1)
+            while len(sizes) > 1 and sizes[-2] + sizes[-1] in self.marks:
+                last = sizes.pop()
+                sizes[-1] += last
         return [self.id[MARK * n] for n in sizes]
 
     def parts(self, keys: list[str]) -> list[list[int]]:
@@ -351,7 +352,7 @@ class Remembered:
         at = pc.index_in(keys, value_set=self.keys)
         new = keys.filter(at.is_null())
         at = at.fill_null(-1).to_numpy().astype(np.int64)
-        if len(self.keys) + len(new) > PARTS:
+        if len(self.keys) + len(new) > PARTS or self.keys.nbytes + new.nbytes > STORED:
             used = at[at >= 0]
             self.flat, ends = gather(self.flat, self.starts[used], self.lengths[used])
             self.keys, self.lengths = self.keys.take(pa.array(used)), self.lengths[used]

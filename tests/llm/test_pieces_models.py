@@ -77,3 +77,36 @@ def test_a_full_store_forgets_and_stays_right(monkeypatch):
         texts = [" ".join("".join(r.choice(list("abcdest.,"), int(r.integers(1, 8)))) for _ in range(20)) for _ in range(8)] + ["", "  x   y", None]
         ids, ends = t.batch(pa.array(texts))
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [sp.encode(x or "") for x in texts]
+
+
+def test_a_run_of_very_many_spaces(tmp_path):
+    """Equal to merging the leftmost neighbours on a list, and linear in the length of the run."""
+    t = pieces.Transducer.__new__(pieces.Transducer)
+    r = np.random.default_rng(8)
+
+    def slow(k):
+        sizes, at = [1] * k, 0
+        while at < len(sizes) - 1:
+            if sizes[at] + sizes[at + 1] in t.marks:
+                sizes[at : at + 2] = [sizes[at] + sizes[at + 1]]
+                at = max(0, at - 1)
+            else:
+                at += 1
+        return sizes
+
+    for _ in range(30):
+        t.marks = {1, *map(int, r.integers(2, 20, 6))}
+        t.id = {pieces.MARK * n: n for n in t.marks}
+        for k in (1, 2, 3, 17, 64, 257):
+            assert t.run(k) == slow(k)
+    assert sum(t.run(2_000_000)) == 2_000_000
+
+
+def test_the_store_of_parts_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "STORED", 1000)
+    store = pieces.Remembered(lambda keys: [[len(k)] for k in keys])
+    for i in range(50):
+        keys = pa.array([f"{i}{'x' * 90}", f"{i}y", "kept"])
+        flat, starts, lengths = store.get(keys)
+        assert flat[starts].tolist() == [len(k) for k in keys.to_pylist()] and lengths.tolist() == [1, 1, 1]
+        assert store.keys.nbytes <= 2500
