@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import stats as M
+from corvane.operators import trees
 from corvane.sources.tables import table
 
 
@@ -98,6 +99,14 @@ def lr_metrics(s: SparkSession, d: str) -> DataFrame:
     return M.scores(M.logistic(*both, "vec_id", "label", "embedding"), "label", "guess")
 
 
+def tree_leaves(s: SparkSession, d: str) -> DataFrame:
+    """The leaves of a tree of two levels on the training vectors: their guess, and how many training and other rows fall into each."""
+    train, test = _split(s, d)
+    tree = trees.grow(train, "label", "embedding", depth=2, bins=16)
+    seen = trees.predict(tree, test, "embedding").groupBy("node").agg(F.count(F.lit(1)).alias("n_test"), F.sum((F.col("label") == F.col("guess")).cast("long")).alias("n_right"))
+    return tree.leaves.join(seen, "node", "left").select("node", "guess", "n", F.coalesce("n_test", F.lit(0)).alias("n_test"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+
+
 def learning_curve(s: SparkSession, d: str) -> DataFrame:
     """Naive Bayes accuracy on growing nested shares of the training rows."""
     train, test = _split(s, d)
@@ -116,7 +125,7 @@ def seeded_draws(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (softmax_entropy, top_p, kl_bits, central_difference, conditioning, conditioning_error, stratified_split, class_shares, confusion_f1, nb_predictions, nb_metrics, standard_scaled, lr_metrics, learning_curve, seeded_draws)
+    for f in (softmax_entropy, top_p, kl_bits, central_difference, conditioning, conditioning_error, stratified_split, class_shares, confusion_f1, nb_predictions, nb_metrics, standard_scaled, lr_metrics, tree_leaves, learning_curve, seeded_draws)
 }
 
 _SOFT = """x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS tok, CAST(unnest(embedding) AS DOUBLE) * 10 AS l FROM embeddings),
@@ -130,6 +139,22 @@ _NB = """tr AS (SELECT label AS c, generate_subscripts(embedding, 1) - 1 AS dim,
   nb AS (SELECT vec_id, label, arg_max(c, (round(ll, 6), -c)) AS guess FROM li GROUP BY vec_id, label)"""
 
 
+def _tree_level(rows: str, out: str) -> str:
+    """CTEs: the best cuts of the nodes of a level, by trying every cut of the counts, and the rows passed on."""
+    return f"""{out}_h AS (SELECT node, dim, bin, c, count(*) AS n FROM {rows} WHERE train AND open GROUP BY ALL),
+  {out}_cuts AS (SELECT DISTINCT node, dim, bin AS cut FROM {out}_h),
+  {out}_sides AS (SELECT k.node, k.dim, k.cut, c, sum(CASE WHEN bin <= cut THEN n ELSE 0 END) AS l, sum(CASE WHEN bin > cut THEN n ELSE 0 END) AS r FROM {out}_cuts k JOIN {out}_h h ON k.node = h.node AND k.dim = h.dim GROUP BY ALL),
+  {out}_pure AS (SELECT node, dim, cut, round(sum(l * l) / sum(l) + sum(r * r) / nullif(sum(r), 0), 6) AS p, round(sum((l + r) * (l + r)) / sum(l + r), 6) AS was FROM {out}_sides GROUP BY ALL),
+  {out}_best AS (SELECT node, arg_max(dim, (p, -dim, -cut)) AS d, arg_max(cut, (p, -dim, -cut)) AS cut FROM {out}_pure WHERE p > was GROUP BY node),
+  {out}_to AS (SELECT x.vec_id, CASE WHEN b.d IS NULL THEN x.node ELSE 2 * x.node + CAST(x.bin > b.cut AS INTEGER) END AS node, b.d IS NOT NULL AS open FROM {rows} x LEFT JOIN {out}_best b ON b.node = x.node AND x.open WHERE x.dim = coalesce(b.d, 0)),
+  {out} AS (SELECT x.vec_id, x.c, x.train, t.node, t.open, x.dim, x.bin FROM {rows} x JOIN {out}_to t USING (vec_id))"""
+
+
+_TREE = """raw AS (SELECT vec_id, label AS c, vec_id % 10 < 7 AS train, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+  ed AS (SELECT dim, min(x) AS low, max(x) - min(x) AS width FROM raw WHERE train GROUP BY dim),
+  r0 AS (SELECT vec_id, c, train, 1::BIGINT AS node, TRUE AS open, dim, CASE WHEN width > 0 THEN greatest(0, least(15, floor((x - low) / width * 16))) ELSE 0 END AS bin FROM raw JOIN ed USING (dim))"""
+
+
 def _f1(rows: str, a: str, b: str) -> str:
     return f"""k AS (SELECT DISTINCT c FROM (SELECT {a} AS c FROM {rows} UNION ALL SELECT {b} FROM {rows})),
       f AS (SELECT c, 2.0::DOUBLE * (SELECT count(*) FROM {rows} WHERE {a} = c AND {b} = c) / ((SELECT count(*) FROM {rows} WHERE {a} = c) + (SELECT count(*) FROM {rows} WHERE {b} = c)) AS f1 FROM k)
@@ -153,5 +178,8 @@ SQL = {
     "standard_scaled": """WITH tr AS (SELECT generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 10 < 7), m AS (SELECT dim, avg(x) AS mean, stddev_pop(x) AS sd FROM tr GROUP BY dim),
       te AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 10 >= 7)
       SELECT vec_id, CAST(dim AS INTEGER) AS dim, round((x - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 5) AS z FROM te JOIN m USING (dim)""",
+    "tree_leaves": f"""WITH {_TREE}, {_tree_level("r0", "r1")}, {_tree_level("r1", "r2")}, one AS (SELECT * FROM r2 WHERE dim = 0),
+      cnt AS (SELECT node, c, count(*) AS n FROM one WHERE train GROUP BY ALL), leaf AS (SELECT node, arg_max(c, (n, -c)) AS guess, CAST(sum(n) AS BIGINT) AS n FROM cnt GROUP BY node)
+      SELECT l.node, guess, n, count(o.vec_id) AS n_test, count(o.vec_id) FILTER (o.c = guess) AS n_right FROM leaf l LEFT JOIN one o ON o.node = l.node AND NOT o.train GROUP BY ALL""",
     "seeded_draws": "SELECT vec_id, CAST(1000 AS BIGINT) AS n, CAST(len(embedding) AS BIGINT) AS items FROM embeddings",
 }
