@@ -1,36 +1,50 @@
-"""Near copies by the similarity of their shingle sets: MinHash bands propose, the texts decide.
+"""Near copies by SimHash with pivot distance tables over five-word shingle sets; the texts decide.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is LEAST or more.  Every link is
-verified on the texts.  Pairs are proposed by BANDS keys of ROWS minima each, so a pair of similarity s is missed with
-chance ``(1 - s**ROWS)**BANDS``: 7e-6 at 0.8, less above.  (No radius of a 64-bit SimHash does this: at 0.8 its bits
-differ in 9.6 places on average, in up to 19 for one pair of a thousand.)
+verified on the texts.  At similarity 0.8 a 64-bit SimHash differs in 9.6 places on average, in up to 19 for one pair of a
+thousand, so the fingerprint here has BITS bits and the pivots serve in two ways:
 
-Each key first links its texts to the smallest of them.  Only keys whose texts are not in one component then, compare all
-pairs across components: keys of up to SMALL texts as rows of a join, larger ones as pairs of blocks of bounded size, each
-a task of its own.  So a large group of copies costs a link for each text, and no pair that could join components is left out.
+* A table holds, for each of GROUPS groups of PIVOTS random references, which of them is nearest to a text or, by its
+  complement, farthest: the distance is the number of bits in which the hashes of all shingles differ from the reference.
+  Two texts of similarity 0.8 agree in 0.41 of the groups, unlike ones in one of 256.  KEYS keys of three groups each bring
+  texts together: of 30,000 simulated pairs of similarity 0.8 they missed none, keys of four groups, which take over
+  from 4 million texts, 16.
+* The texts of a key are placed by their distance to its smallest fingerprint, the pivot of that key.  Where no distance
+  falls into a gap of more than RADIUS bits, the triangle inequality parts the key into cells that share no near pair, and
+  within a cell it discards pairs.  The bits of the whole fingerprints discard what is left beyond RADIUS: texts of
+  similarity 0.8 differ in at most 0.19 of the bits on average (five shingles against four), RADIUS is 5.4 deviations more.
+
+Each text is first linked to two of the pivots within RADIUS that its keys have, the smallest and the nearest.  Only cells
+whose texts are not in one component then, compare all pairs across components: cells of up to SMALL texts as rows of a
+join, larger ones as pairs of blocks of bounded size, each a task of its own.  So a large group of copies costs two links
+for each text, and no pair of a cell that could join components is left out.
 Texts of the same words (by a 64-bit hash) are compared once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, saved
+from corvane.llm.common import bounded_batches, partitions, saved
 from corvane.llm.simhash import SEED, components, named
 
 WORDS, LEAST = 5, 0.8
-ROWS, BANDS = 5, 30
-#: Texts of one key that are compared as rows of a join; of a larger key, texts in a block.
+BITS, RADIUS = 512, 144
+#: One byte names a pivot of a group or its complement.
+GROUPS, PIVOTS, KEYS = 192, 128, 192
+#: Texts of one cell that are compared as rows of a join; of a larger cell, texts in a block.
 SMALL, BLOCK = 32, 256
 _RANDOM = np.random.default_rng(21)
-_XOR = _RANDOM.integers(0, 2**64, size=ROWS * BANDS, dtype=np.uint64)
-_TIMES = _RANDOM.integers(0, 2**63, size=ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RANDOM.integers(0, 2**64, size=BITS // 64, dtype=np.uint64)
+_TIMES = _RANDOM.integers(0, 2**63, size=BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -44,18 +58,65 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([of(b" ".join(found[i : i + words]), SEED) for i in range(max(1, len(found) - words + 1))], np.uint64))
 
 
-def bands(of: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of shingles; an empty set has minima of its own."""
-    low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
-    for k in range(0, len(of), 1024):
-        x = (of[k : k + 1024, None] ^ _XOR) * _TIMES
+def leads(of: np.ndarray) -> np.ndarray:
+    """For each bit, by how many the shingles whose hash has it set outnumber the others."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(of), 4096):
+        x = (of[k : k + 4096, None] ^ _XOR) * _TIMES
+        x ^= x >> np.uint64(32)
+        x *= _TIMES
         x ^= x >> np.uint64(32)
-        low = np.minimum(low, (x * _TIMES).min(axis=0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for part in low.reshape(BANDS, ROWS).T:
-        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return 2 * ones - len(of)
+
+
+def prints(lead: np.ndarray) -> np.ndarray:
+    """Rows of leads as SimHash fingerprints of BITS // 64 words: a bit is set if it is in over half of the hashes."""
+    return np.packbits(lead > 0, axis=-1, bitorder="little").view("<i8")
+
+
+@lru_cache(1)
+def references() -> np.ndarray:
+    """All pivots, one a column: 1 for a bit that is set, else -1."""
+    return np.random.default_rng(20).integers(0, 2, size=(BITS, GROUPS * PIVOTS), dtype=np.int8).astype(np.float32) * 2 - 1
+
+
+def nearest(lead: np.ndarray) -> np.ndarray:
+    """For rows of leads, one byte for each group: the pivot that is nearest, or 128 and the one that is farthest.
+
+    All shingles of a text together differ from a pivot in (BITS * shingles - lead @ pivot) / 2 bits.
+    """
+    out = np.empty((len(lead), GROUPS), np.uint8)
+    for k in range(0, len(lead), 256):
+        near = (lead[k : k + 256].astype(np.float32) @ references()).reshape(-1, GROUPS, PIVOTS)
+        high, low = near.argmax(axis=2)[..., None], near.argmin(axis=2)[..., None]
+        far = -np.take_along_axis(near, low, 2) > np.take_along_axis(near, high, 2)
+        out[k : k + 256] = np.where(far, low + PIVOTS, high)[..., 0]
+    return out
+
+
+def groups_of_a_key(n: int) -> int:
+    """How many groups must agree, so that chance meetings stay few for n texts: more groups, more keys."""
+    return max(3, math.ceil((math.log2(n + 1) + 2) / 8))
+
+
+@lru_cache(8)
+def choices(groups: int) -> np.ndarray:
+    """The groups of each key, every group in about as many keys: KEYS keys of three groups, 2.5 times as many for one more."""
+    rng, of = np.random.default_rng(groups), GROUPS // groups
+    rounds = math.ceil(KEYS * 2.5 ** (groups - 3) / of)
+    return np.concatenate([rng.permutation(GROUPS)[: groups * of].reshape(of, groups) for _ in range(rounds)])
+
+
+def keys(near: np.ndarray, groups: int = 3) -> np.ndarray:
+    """Rows of nearest pivots as rows of keys, each of its number and the pivots of ``groups`` groups (a hash if more than three)."""
+    out = np.arange(len(choices(groups)), dtype=np.uint64) + np.zeros((len(near), 1), np.uint64)
+    for of in choices(groups).T:
+        out = out * np.uint64(256) + near[:, of]
+        if groups > 3:
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -63,21 +124,98 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (of the words), text and keys for each row."""
+def _words(text: str | None) -> int:
+    """A signed 64-bit hash of the words of a text."""
     import xxhash
 
+    of = xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    return of - (1 << 64) if of >> 63 else of
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (of the words), print and near, the pivots, for each row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            fps = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-            keys = np.array([bands(shingles(t)) for t in texts], np.int64).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), b.column(1), lists], ["doc_id", "fp", "text", "keys"])
+            for k in range(0, b.num_rows, 1024):
+                texts = [t.as_py() for t in b.column(1)[k : k + 1024]]
+                lead = np.stack([leads(shingles(t)) for t in texts])
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * (BITS // 64), pa.int32()), pa.array(prints(lead).reshape(-1)))
+                near = pa.array([x.tobytes() for x in nearest(lead)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 1024], pa.array([_words(t) for t in texts], pa.int64()), words, near], ["doc_id", "fp", "print", "near"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, print array<long>, near binary")
+
+
+def _texts(docs: DataFrame, fps: DataFrame) -> DataFrame:
+    """fp and text of those rows of ``docs`` whose fp is in ``fps``, one of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_words(t.as_py()) for t in b.column(0)], pa.int64()), b.column(0)], ["fp", "text"])
+
+    return docs.select("text").mapInArrow(run, "fp long, text string").join(fps, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text"))
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (k, fp), sorted, those whose key another row has, and ``low``, the smallest fp of the key."""
+
+    def out(k, f, low, keep) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, f, low)], ["k", "fp", "low"])
+
+    held, joined = np.empty((3, 0), np.int64), False  # the last row waits for the next batch
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, f = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
+        same = k[1:] == k[:-1]
+        before, after = np.append(joined, same), np.append(same, False)
+        low = f[np.maximum.accumulate(np.where(before, 0, np.arange(len(k))))]
+        if joined:
+            low[: np.argmin(np.append(before, False))] = held[2, 0]
+        yield out(k[:-1], f[:-1], low[:-1], (before | after)[:-1])
+        held, joined = np.stack([k[-1:], f[-1:], low[-1:]]), bool(before[-1])
+    yield out(*held, np.full(held.shape[1], joined))
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """k, fp and low for each key that several fingerprints (fp, near) have."""
+    agree = groups_of_a_key(reps.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                near = np.frombuffer(b"".join(b.column(1)[k : k + 1024].to_pylist()), np.uint8).reshape(-1, GROUPS)
+                fps = b.column(0)[k : k + 1024].to_numpy()
+                ks = keys(near, agree)
+                yield pa.RecordBatch.from_arrays([pa.array(ks.reshape(-1)), pa.array(np.repeat(fps, ks.shape[1]))], ["k", "fp"])
+
+    keyed = reps.select("fp", "near").mapInArrow(run, "k long, fp long")
+    keyed = keyed.repartition(partitions(reps.sparkSession), "k").sortWithinPartitions("k", "fp")
+    return keyed.mapInArrow(_meeting, "k long, fp long, low long")
+
+
+def _bits(a: str, b: str) -> Column:
+    """The number of bits in which two columns of fingerprints differ."""
+    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64))
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, text string, keys array<long>")
+def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose fingerprints differ in at most RADIUS bits."""
+    both = pairs.join(reps.select(F.col("fp").alias("u"), F.col("print").alias("a")), "u").join(reps.select(F.col("fp").alias("v"), F.col("print").alias("b")), "v")
+    return both.filter(_bits("a", "b") <= RADIUS).select("u", "v")
+
+
+def _cells(table: DataFrame) -> DataFrame:
+    """``table`` (k, fp, d) with ``cell``: texts of a key that a gap of more than RADIUS in d parts are in two cells.
+
+    d is the distance to one pivot, so texts on two sides of such a gap differ in more than RADIUS bits.
+    """
+    of = Window.partitionBy("k").orderBy("d")  # a key has at most BITS + 1 distances
+    steps = table.select("k", "d").distinct().withColumn("gap", F.col("d") - F.coalesce(F.lag("d").over(of), F.col("d")) > RADIUS)
+    steps = steps.select("k", "d", F.sum(F.col("gap").cast("int")).over(of).alias("cell"))
+    return table.join(steps, ["k", "d"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -85,8 +223,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(8)(shingles)  # texts of many pairs come one after another
         for b in batches:
-            near = [similarity(shingles(x.as_py()), shingles(y.as_py())) >= LEAST for x, y in zip(b.column(2), b.column(3))]
+            near = [similarity(of(x.as_py()), of(y.as_py())) >= LEAST for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -95,38 +234,49 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _compare(t: pd.DataFrame) -> pd.DataFrame:
     """Links across the components of one pair of blocks; texts that a link joined are not compared again."""
     a, b = int(t["a"].iloc[0]), int(t["b"].iloc[0])
-    sets, block, fps = [shingles(x) for x in t["text"]], t["block"].to_numpy(), t["fp"].to_numpy()
-    label, out = t["c"].to_numpy().copy(), []
+    block, fps, d, bits, sets = t["block"].to_numpy(), t["fp"].to_numpy(), t["d"].to_numpy(), np.stack(t["print"].to_numpy()).view(np.uint64), {}
+    label, out, second = t["c"].to_numpy().copy(), [], np.flatnonzero(block == b)
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(t["text"].iloc[i])
+        return sets[i]
+
     for i in np.flatnonzero(block == a):
-        for j in np.flatnonzero(block == b):
-            if label[i] != label[j] and similarity(sets[i], sets[j]) >= LEAST:
+        j = second[(label[second] != label[i]) & (np.abs(d[second] - d[i]) <= RADIUS)]
+        for j in j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= RADIUS]:
+            if label[i] != label[j] and similarity(of(i), of(j)) >= LEAST:
                 out.append((fps[i], fps[j]))
                 label[label == label[j]] = label[i]
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def edges(rows: DataFrame) -> DataFrame:
-    """Verified links (u, v) that join all near copies of ``rows`` (fp, text, keys), over any number of steps."""
-    keyed = rows.groupBy("fp").agg(F.any_value("keys").alias("keys")).select("fp", F.explode("keys").alias("k"))
-    met = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).filter("n > 1")
-    shared = saved(keyed.join(met, "k"), "shared")
-    texts = saved(rows.select("fp", "text").join(shared.select("fp").distinct(), "fp").groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
-    stars = saved(_verified(shared.filter("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct(), texts), "stars")
+def edges(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Verified links (u, v) that join all near copies of ``docs``, over any number of steps; ``reps``: fp, print, near."""
+    shared, of = saved(_shared(reps), "shared"), reps.select("fp", "print")
+    table = shared.join(of, "fp").join(of.select(F.col("fp").alias("low"), F.col("print").alias("pivot")), "low")
+    table = saved(table.select("k", "fp", "low", _bits("print", "pivot").alias("d")), "distances")
+    links = table.filter((F.col("fp") != F.col("low")) & (F.col("d") <= RADIUS)).groupBy("fp").agg(F.min("low").alias("a"), F.min(F.struct("d", "low")).alias("b"))
+    first = saved(links.select(F.explode(F.array_distinct(F.array("a", "b.low"))).alias("u"), F.col("fp").alias("v")), "first")
+    stars = saved(_verified(first, _texts(docs, first.select(F.explode(F.array("u", "v")).alias("fp")).distinct())), "stars")
     found = components(stars).select(F.col("node").alias("fp"), "root")
-    placed = shared.join(found, "fp", "left").select("k", "fp", "n", F.coalesce("root", "fp").alias("c"))
-    split = placed.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("k")
-    left = saved(placed.join(split, "k"), "open")
+    placed = saved(_cells(table.drop("low")).join(found, "fp", "left").select("k", "cell", "fp", "d", F.coalesce("root", "fp").alias("c")), "placed")
+    split = placed.groupBy("k", "cell").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 <> c2")
+    left = saved(placed.join(split.select("k", "cell", "n"), ["k", "cell"]), "open")
     few = left.filter(F.col("n") <= SMALL)
-    pairs = few.select("k", F.col("fp").alias("u"), F.col("c").alias("cu")).join(few.select("k", F.col("fp").alias("v"), F.col("c").alias("cv")), "k").filter("u < v and cu <> cv")
-    more = _verified(pairs.select("u", "v").distinct().join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), texts)
-    many = left.filter(F.col("n") > SMALL).withColumn("blocks", F.floor((F.col("n") - 1) / BLOCK) + 1).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    many = many.select("k", "fp", "c", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    many = many.select("k", "fp", "c", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(texts, "fp")
-    return stars.unionByName(more).unionByName(many.groupBy("k", "a", "b").applyInPandas(_compare, "u long, v long"))
+    pairs = few.select("k", "cell", F.col("fp").alias("u"), F.col("c").alias("cu"), F.col("d").alias("du")).join(few.select("k", "cell", F.col("fp").alias("v"), F.col("c").alias("cv"), F.col("d").alias("dv")), ["k", "cell"])
+    pairs = pairs.filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= RADIUS)).select("u", "v").distinct()
+    second = saved(_near(pairs, reps).join(first, ["u", "v"], "left_anti"), "second")
+    hot = left.filter(F.col("n") > SMALL)
+    texts = saved(_texts(docs, second.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(hot.select("fp")).distinct()), "texts")
+    many = hot.withColumn("blocks", F.floor((F.col("n") - 1) / BLOCK) + 1).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    many = many.select("k", "cell", "fp", "c", "d", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    many = many.select("k", "cell", "fp", "c", "d", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(of, "fp").join(texts, "fp")
+    return stars.unionByName(_verified(second, texts)).unionByName(many.groupBy("k", "cell", "a", "b").applyInPandas(_compare, "u long, v long"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable by links, for each row of ``docs``."""
     rows = saved(_described(docs), "described")
-    reps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
-    return named(rows.select("doc_id", "fp"), reps, components(edges(rows))).select("doc_id", "fp", "component_id")
+    reps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("print").alias("print"), F.any_value("near").alias("near")), "distinct")
+    return named(rows.select("doc_id", "fp"), reps.select("fp", "rep", "n"), components(edges(docs, reps))).select("doc_id", "fp", "component_id")

@@ -1,5 +1,7 @@
 """The near-dedup stage against all pairs of real shingle sets."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("corvane.llm")
@@ -46,3 +48,63 @@ def test_a_large_key_of_texts_that_differ_is_compared_whole(spark, monkeypatch):
     df = spark.createDataFrame([*texts.items(), (500, ""), (501, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(df).collect()}
     assert got == roots({**texts}) | {500: 500, 501: 500}
+
+
+def test_prints_and_nearest_pivots_equal_plain_ones():
+    of = nearcopies.shingles(" ".join(f"w{i}" for i in range(40)))
+    lead = nearcopies.leads(of)
+    bits = []
+    for h in of.tolist():  # the hash of each shingle, word by word
+        row = []
+        for x, times in zip(nearcopies._XOR.tolist(), nearcopies._TIMES.tolist()):
+            v = (h ^ x) * times % 2**64
+            v = (v ^ v >> 32) * times % 2**64
+            v ^= v >> 32
+            row += [v >> i & 1 for i in range(64)]
+        bits.append(row)
+    bits = np.array(bits)
+    words = nearcopies.prints(lead[None])[0].view(np.uint64)
+    assert [int(w) >> i & 1 for w in words for i in range(64)] == (2 * bits.sum(axis=0) > len(of)).astype(int).tolist()
+    pivots = nearcopies.references() > 0
+    for g, got in enumerate(nearcopies.nearest(lead[None])[0][:8]):
+        to = [int((bits != pivots[:, g * nearcopies.PIVOTS + p]).sum()) for p in range(nearcopies.PIVOTS)]
+        reach = [*to, *(bits.size - x for x in to)]  # the complements follow
+        assert reach[got] == min(reach)
+
+
+def test_pivots_bring_together_nearly_all_pairs_of_least_similarity():
+    rng = np.random.default_rng(5)
+    for common, own, other in ((4, 1, 0), (8, 1, 1), (80, 10, 10), (240, 60, 0)):
+        sets = [rng.integers(0, 2**64, size=common + own + other, dtype=np.uint64) for _ in range(300)]
+        a = np.stack([nearcopies.leads(x[: common + own]) for x in sets])
+        b = np.stack([nearcopies.leads(np.append(x[:common], x[common + own :])) for x in sets])
+        met = (nearcopies.keys(nearcopies.nearest(a)) == nearcopies.keys(nearcopies.nearest(b))).any(axis=1)
+        apart = np.bitwise_count((nearcopies.prints(a) ^ nearcopies.prints(b)).view(np.uint64)).sum(axis=1)
+        assert met.sum() >= 299 and apart.max() <= nearcopies.RADIUS
+        unlike = (nearcopies.prints(a[1:]) ^ nearcopies.prints(a[:-1])).view(np.uint64)
+        assert np.bitwise_count(unlike).sum(axis=1).min() > nearcopies.RADIUS
+
+
+def test_a_gap_of_pivot_distances_parts_a_key(spark):
+    far = nearcopies.RADIUS + 1
+    rows = [(1, 10, 0), (1, 11, far - 1), (1, 12, 2 * far - 1), (1, 13, 2 * far), (2, 10, 0), (2, 14, far), (2, 15, far)]
+    got = {(r["k"], r["fp"]): r["cell"] for r in nearcopies._cells(spark.createDataFrame(rows, "k long, fp long, d long")).collect()}
+    assert got == {(1, 10): 0, (1, 11): 0, (1, 12): 1, (1, 13): 1, (2, 10): 0, (2, 14): 1, (2, 15): 1}
+
+
+def test_rows_of_one_key_meet_across_batches():
+    rows = [(1, 4), (2, 3), (2, 5), (2, 6), (2, 7), (3, 1), (4, 2), (4, 9)]
+    for size in range(1, 9):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*p)], ["k", "fp"]) for p in parts]
+        got = [tuple(r.values()) for b in nearcopies._meeting(iter(batches)) for r in b.to_pylist()]
+        assert got == [(2, 3, 3), (2, 5, 3), (2, 6, 3), (2, 7, 3), (4, 2, 2), (4, 9, 2)], size
+
+
+def test_near_copies_are_discarded_by_their_fingerprints(spark, monkeypatch):
+    """What lies beyond the radius is not linked, so the fingerprints, not another path, bring pairs to the texts."""
+    words = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"]))], "doc_id long, text string")
+    assert {r["component_id"] for r in nearcopies.groups(df).collect()} == {1}
+    monkeypatch.setattr(nearcopies, "RADIUS", -1)
+    assert {r["component_id"] for r in nearcopies.groups(df).collect()} == {1, 2}
