@@ -14,10 +14,15 @@ thousand, so the fingerprint here has BITS bits and the pivots serve in two ways
   within a cell it discards pairs.  The bits of the whole fingerprints discard what is left beyond RADIUS: texts of
   similarity 0.8 differ in at most 0.19 of the bits on average (five shingles against four), RADIUS is 5.4 deviations more.
 
-Each text is first linked to two of the pivots within RADIUS that its keys have, the smallest and the nearest.  Only cells
-whose texts are not in one component then, compare all pairs across components: cells of up to SMALL texts as rows of a
-join, larger ones as pairs of blocks of bounded size, each a task of its own.  So a large group of copies costs two links
-for each text, and no pair of a cell that could join components is left out.
+Fingerprints within RADIUS of each other form groups, over any number of steps; only they can hold near copies.  A text is
+first linked to two of the pivots within RADIUS that its keys have, the smallest and the nearest.  Only cells whose texts are
+not in one group then, compare all pairs across groups: cells of up to SMALL texts as rows of a join, larger ones as pairs of
+blocks of bounded size, each a task of its own.  So a large group of like texts costs two links for each text.
+
+The texts of a group then meet once, whatever the number of keys that they share, and the sets of shingles of all its pairs
+are compared by a product of matrices.  In a group of more than BLOCK texts those links to pivots are held against the texts
+first, and only blocks of texts that these have not joined are compared, each pair of blocks a task of its own; of its links a
+forest leaves the task.  So no pair that could join components is left out, and pairs are nowhere rows of a table.
 Texts of the same words (by a 64-bit hash) are compared once.
 """
 
@@ -34,14 +39,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import bounded_batches, partitions, saved
-from corvane.llm.simhash import SEED, components, named
+from corvane.llm.simhash import HOT_PRINTS, SEED, _forest, components, named
 
 WORDS, LEAST = 5, 0.8
 BITS, RADIUS = 512, 144
 #: One byte names a pivot of a group or its complement.
 GROUPS, PIVOTS, KEYS = 192, 128, 192
-#: Texts of one cell that are compared as rows of a join; of a larger cell, texts in a block.
+#: Texts of one cell that are compared as rows of a join; of a larger cell or group, texts in a block.
 SMALL, BLOCK = 32, 256
+#: Shingles of a product of matrices.
+WIDE = 8192
 _RANDOM = np.random.default_rng(21)
 _XOR = _RANDOM.integers(0, 2**64, size=BITS // 64, dtype=np.uint64)
 _TIMES = _RANDOM.integers(0, 2**63, size=BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,12 +156,16 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, fps: DataFrame) -> DataFrame:
-    """fp and text of those rows of ``docs`` whose fp is in ``fps``, one of each."""
+    """fp and text of those rows of ``docs`` whose fp is in ``fps``, one of each.
+
+    Up to HOT_PRINTS fps are broadcast, so that other texts are not shuffled; beyond that all texts are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_words(t.as_py()) for t in b.column(0)], pa.int64()), b.column(0)], ["fp", "text"])
 
+    fps = F.broadcast(fps) if fps.count() <= HOT_PRINTS else fps
     return docs.select("text").mapInArrow(run, "fp long, text string").join(fps, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text"))
 
 
@@ -232,47 +243,96 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _compare(t: pd.DataFrame) -> pd.DataFrame:
-    """Links across the components of one pair of blocks; texts that a link joined are not compared again."""
+    """Links across the groups of one pair of blocks by fingerprints; texts that a link joined are not compared again."""
     a, b = int(t["a"].iloc[0]), int(t["b"].iloc[0])
-    block, fps, d, bits, sets = t["block"].to_numpy(), t["fp"].to_numpy(), t["d"].to_numpy(), np.stack(t["print"].to_numpy()).view(np.uint64), {}
+    block, fps, d, bits = t["block"].to_numpy(), t["fp"].to_numpy(), t["d"].to_numpy(), np.stack(t["print"].to_numpy()).view(np.uint64)
     label, out, second = t["c"].to_numpy().copy(), [], np.flatnonzero(block == b)
-
-    def of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingles(t["text"].iloc[i])
-        return sets[i]
-
     for i in np.flatnonzero(block == a):
         j = second[(label[second] != label[i]) & (np.abs(d[second] - d[i]) <= RADIUS)]
         for j in j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= RADIUS]:
-            if label[i] != label[j] and similarity(of(i), of(j)) >= LEAST:
+            if label[i] != label[j]:
                 out.append((fps[i], fps[j]))
                 label[label == label[j]] = label[i]
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def edges(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Verified links (u, v) that join all near copies of ``docs``, over any number of steps; ``reps``: fp, print, near."""
-    shared, of = saved(_shared(reps), "shared"), reps.select("fp", "print")
-    table = shared.join(of, "fp").join(of.select(F.col("fp").alias("low"), F.col("print").alias("pivot")), "low")
-    table = saved(table.select("k", "fp", "low", _bits("print", "pivot").alias("d")), "distances")
-    links = table.filter((F.col("fp") != F.col("low")) & (F.col("d") <= RADIUS)).groupBy("fp").agg(F.min("low").alias("a"), F.min(F.struct("d", "low")).alias("b"))
-    first = saved(links.select(F.explode(F.array_distinct(F.array("a", "b.low"))).alias("u"), F.col("fp").alias("v")), "first")
-    stars = saved(_verified(first, _texts(docs, first.select(F.explode(F.array("u", "v")).alias("fp")).distinct())), "stars")
-    found = components(stars).select(F.col("node").alias("fp"), "root")
+def _shared_shingles(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets ``first`` has in common with each of ``second``; nothing is said of a set and itself."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    often = times[at] > 1
+    rows, at = rows[often], (np.cumsum(times > 1) - 1)[at[often]]
+    order = np.argsort(at, kind="stable")
+    rows, at, both = rows[order], at[order], np.zeros((len(first), len(second)))
+    for start in range(0, int((times > 1).sum()), WIDE):
+        part, of = slice(*np.searchsorted(at, [start, start + WIDE])), np.zeros((len(sets), WIDE), np.float32)
+        of[rows[part], at[part] - start] = 1
+        of = of[:, : at[part].max() - start + 1]
+        both += of[first] @ of[second].T
+    return both
+
+
+def _linked(t: pd.DataFrame) -> pd.DataFrame:
+    """A forest of the near copies, by their texts, across the components of one pair of blocks."""
+    a, b = t["a"].iloc[0], t["b"].iloc[0]
+    first, second = np.flatnonzero(t["block"] == a), np.flatnonzero(t["block"] == b)
+    fps, c, sets = t["fp"].to_numpy(), t["c"].to_numpy(), [shingles(x) for x in t["text"]]
+    both, n = _shared_shingles(sets, first, second), np.array([len(x) for x in sets])
+    near = both / np.maximum(n[first][:, None] + n[second] - both, 1) >= LEAST
+    i, j = np.nonzero(near & (c[first][:, None] != c[second]))
+    rows, to = _forest(len(t), first[i], second[j])
+    return pd.DataFrame({"u": fps[rows], "v": fps[to]})
+
+
+def _groups_of_prints(reps: DataFrame, first: DataFrame, table: DataFrame) -> DataFrame:
+    """fp and g of each fingerprint that steps of at most RADIUS bits, among those that share a key, join to another."""
+    found = components(first).select(F.col("node").alias("fp"), "root")
     placed = saved(_cells(table.drop("low")).join(found, "fp", "left").select("k", "cell", "fp", "d", F.coalesce("root", "fp").alias("c")), "placed")
     split = placed.groupBy("k", "cell").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 <> c2")
     left = saved(placed.join(split.select("k", "cell", "n"), ["k", "cell"]), "open")
     few = left.filter(F.col("n") <= SMALL)
     pairs = few.select("k", "cell", F.col("fp").alias("u"), F.col("c").alias("cu"), F.col("d").alias("du")).join(few.select("k", "cell", F.col("fp").alias("v"), F.col("c").alias("cv"), F.col("d").alias("dv")), ["k", "cell"])
     pairs = pairs.filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= RADIUS)).select("u", "v").distinct()
-    second = saved(_near(pairs, reps).join(first, ["u", "v"], "left_anti"), "second")
-    hot = left.filter(F.col("n") > SMALL)
-    texts = saved(_texts(docs, second.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(hot.select("fp")).distinct()), "texts")
-    many = hot.withColumn("blocks", F.floor((F.col("n") - 1) / BLOCK) + 1).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    second = saved(_near(pairs, reps), "second")
+    many = left.filter(F.col("n") > SMALL).withColumn("blocks", F.floor((F.col("n") - 1) / BLOCK) + 1).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     many = many.select("k", "cell", "fp", "c", "d", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    many = many.select("k", "cell", "fp", "c", "d", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(of, "fp").join(texts, "fp")
-    return stars.unionByName(_verified(second, texts)).unionByName(many.groupBy("k", "cell", "a", "b").applyInPandas(_compare, "u long, v long"))
+    many = many.select("k", "cell", "fp", "c", "d", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(reps.select("fp", "print"), "fp")
+    third = many.groupBy("k", "cell", "a", "b").applyInPandas(_compare, "u long, v long")
+    found = components(first.select("u", "v").unionByName(second).unionByName(third)).select(F.col("node").alias("fp"), F.col("root").alias("g"))
+    return found.unionByName(found.select(F.col("g").alias("fp"), "g").distinct())
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (g, fp, c) of large groups with a, b and block, once for each pair (a, b) of blocks that ``block`` is in.
+
+    A component c of more than BLOCK rows has blocks of its own, which are not paired with each other.
+    """
+    large = rows.groupBy("g", "c").count().filter(F.col("count") > BLOCK).select("g", "c", F.col("c").alias("own"))
+    rows = rows.join(F.broadcast(large), ["g", "c"], "left")  # at most one row for BLOCK rows, as the next
+    blocks = rows.groupBy("g", "own").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).alias("blocks"))
+    dealt = rows.join(F.broadcast(blocks.withColumnsRenamed({"g": "h", "own": "o"})), F.col("g").eqNullSafe(F.col("h")) & F.col("own").eqNullSafe(F.col("o")))
+    dealt = dealt.select("g", "fp", "c", F.concat_ws(":", "own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).alias("block"))
+    each = blocks.select("g", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at")).select("g", "own", F.concat_ws(":", "own", "at").alias("a"))
+    pairs = each.join(each.select("g", F.col("own").alias("other"), F.col("a").alias("b")), "g").filter("a <= b and (own is null or other is null or own <> other)")
+    return dealt.join(pairs.select("g", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")), ["g", "block"])
+
+
+def edges(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) that join all near copies of ``docs`` by their texts, over any number of steps; ``reps``: fp, print, near."""
+    shared, of = saved(_shared(reps), "shared"), reps.select("fp", "print")
+    table = shared.join(of, "fp").join(of.select(F.col("fp").alias("low"), F.col("print").alias("pivot")), "low")
+    table = saved(table.select("k", "fp", "low", _bits("print", "pivot").alias("d")), "distances")
+    links = table.filter((F.col("fp") != F.col("low")) & (F.col("d") <= RADIUS)).groupBy("fp").agg(F.min("low").alias("a"), F.min(F.struct("d", "low")).alias("b"))
+    first = saved(links.select(F.explode(F.array_distinct(F.array("a", "b.low"))).alias("u"), F.col("fp").alias("v")), "first")
+    member = saved(_groups_of_prints(reps, first, table), "members")
+    large = F.broadcast(member.groupBy("g").count().filter(F.col("count") > BLOCK).select("g"))  # at most one row for BLOCK texts
+    few, many = member.join(large, "g", "left_anti"), saved(member.join(large, "g", "left_semi"), "many")
+    texts = saved(_texts(docs, member.select("fp")), "texts")
+    stars = saved(_verified(first.join(many.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v"), texts), "stars")
+    found = components(stars).select(F.col("node").alias("fp"), "root")
+    many = saved(many.join(found, "fp", "left").select("g", "fp", F.coalesce("root", "fp").alias("c")), "joined")
+    tasks = few.select("g", "fp", F.col("fp").alias("c"), *(F.lit("").alias(x) for x in ("block", "a", "b"))).unionByName(_in_blocks(many))
+    return stars.unionByName(tasks.join(texts, "fp").groupBy("g", "a", "b").applyInPandas(_linked, "u long, v long"))
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -108,3 +108,83 @@ def test_near_copies_are_discarded_by_their_fingerprints(spark, monkeypatch):
     assert {r["component_id"] for r in nearcopies.groups(df).collect()} == {1}
     monkeypatch.setattr(nearcopies, "RADIUS", -1)
     assert {r["component_id"] for r in nearcopies.groups(df).collect()} == {1, 2}
+
+
+def alike(n, words=100, edits=2):
+    """Texts of one base with a few words changed: most pairs lie just under the least similarity, some above."""
+    rng = np.random.default_rng(3)
+    out = {}
+    for k in range(n):
+        of = [f"w{i}" for i in range(words)]
+        for i in rng.integers(0, words, edits):
+            of[i] = f"e{k}x{i}"
+        out[k] = " ".join(of)
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 32])
+def test_texts_just_under_the_least_similarity_are_no_table_of_pairs(spark, monkeypatch, block):
+    made, saved = {}, nearcopies.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "saved", counted)
+    monkeypatch.setattr(nearcopies, "SMALL", 512)  # as rows of a join, all pairs would show
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    texts = alike(200)
+    want = roots(texts)
+    assert 10 < len(set(want.values())) < 190
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.groups(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == want
+    assert made["shared"] > 200  # keys: rows, not pairs
+    assert {name: n for name, n in made.items() if n > max(2 * 200, made["shared"])} == {}
+    assert made["second"] <= 200
+
+
+def test_only_texts_of_groups_are_shuffled(spark, monkeypatch, capsys):
+    docs = spark.createDataFrame([(k, f"text {k % 50}") for k in range(200)], "doc_id long, text string")
+    fps = spark.createDataFrame([(nearcopies._words("text 7"),), (nearcopies._words("text 9"),)], "fp long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for prints, join in ((0, "SortMergeJoin"), (2, "BroadcastHashJoin")):
+            monkeypatch.setattr(nearcopies, "HOT_PRINTS", prints, raising=False)
+            found = nearcopies._texts(docs, fps)
+            assert sorted(r["text"] for r in found.collect()) == ["text 7", "text 9"]
+            capsys.readouterr()
+            found.explain()
+            assert join in capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_common_shingles_of_all_pairs_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(nearcopies, "WIDE", 7)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, size=n).astype(np.uint64)) for n in (0, 1, 5, 20, 40, 0, 60, 3)]
+    first, second = np.array([0, 2, 4, 6]), np.array([1, 3, 5, 7])
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in second] for i in first]
+    assert nearcopies._shared_shingles(sets, first, second).tolist() == want
+    assert nearcopies._shared_shingles([sets[0], sets[5]], np.array([0]), np.array([1])).tolist() == [[0]]
+
+
+def test_each_pair_across_components_is_in_one_pair_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+    rows = [(1, k, 0) for k in range(13)] + [(1, k, 20) for k in range(20, 29)] + [(1, k, 30) for k in range(30, 33)] + [(1, k, k) for k in range(40, 50)]
+    rows += [(2, k, 100) for k in range(100, 120)]  # of one component: no pairs
+    rows += [(3, k, k) for k in range(200, 206)]
+    tasks = {}
+    for r in nearcopies._in_blocks(spark.createDataFrame(rows, "g long, fp long, c long")).collect():
+        tasks.setdefault((r["g"], r["a"], r["b"]), []).append((r["fp"], r["c"], r["block"]))
+    met = {}
+    for (g, a, b), of in tasks.items():
+        for fp, c, block in of:
+            for fp2, c2, block2 in of:
+                if c != c2 and (block, block2) == (a, b) and (a != b or fp < fp2):
+                    key = (g, min(fp, fp2), max(fp, fp2))
+                    met[key] = met.get(key, 0) + 1
+    assert met == {(g, f, f2): 1 for g, f, c in rows for g2, f2, c2 in rows if g == g2 and f < f2 and c != c2}
+    assert all(not a.startswith("0:") or not b.startswith("0:") for g, a, b in tasks if g == 1)
