@@ -22,7 +22,8 @@ blocks of bounded size, each a task of its own.  So a large group of like texts
 The texts of a group then meet once, whatever the number of keys that they share, and the sets of shingles of all its pairs
 are compared by a product of matrices.  In a group of more than BLOCK texts those links to pivots are held against the texts
 first, and only blocks of texts that these have not joined are compared, each pair of blocks a task of its own; of its links a
-forest leaves the task.  So no pair that could join components is left out, and pairs are nowhere rows of a table.
+forest leaves the task.  So no pair that could join components is left out, and pairs of one group are not rows of a table;
+but a text that no link joins goes to each pair of blocks of its group, one row for BLOCK others.
 Texts of the same words (by a 64-bit hash) are compared once.
 """
 
