@@ -299,7 +299,7 @@ def _groups_of_prints(reps: DataFrame, first: DataFrame, table: DataFrame) -> Da
     many = many.select("k", "cell", "fp", "c", "d", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     many = many.select("k", "cell", "fp", "c", "d", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).join(reps.select("fp", "print"), "fp")
     third = many.groupBy("k", "cell", "a", "b").applyInPandas(_compare, "u long, v long")
-    found = components(first.select("u", "v").unionByName(second).unionByName(third)).select(F.col("node").alias("fp"), F.col("root").alias("g"))
+    found = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(second).unionByName(third)).select(F.col("node").alias("fp"), F.col("root").alias("g"))
     return found.unionByName(found.select(F.col("g").alias("fp"), "g").distinct())
 
 
@@ -333,6 +333,7 @@ def edges(docs: DataFrame, reps: DataFrame) -> DataFrame:
     found = components(stars).select(F.col("node").alias("fp"), "root")
     many = saved(many.join(found, "fp", "left").select("g", "fp", F.coalesce("root", "fp").alias("c")), "joined")
     tasks = few.select("g", "fp", F.col("fp").alias("c"), *(F.lit("").alias(x) for x in ("block", "a", "b"))).unionByName(_in_blocks(many))
+    stars = found.select(F.col("fp").alias("u"), F.col("root").alias("v"))  # as good as the links that it comes from
     return stars.unionByName(tasks.join(texts, "fp").groupBy("g", "a", "b").applyInPandas(_linked, "u long, v long"))
 
 

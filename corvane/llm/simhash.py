@@ -13,7 +13,8 @@ within blocks of bits:
 
 Within one key the verified pairs are joined into components at once and only the edges of a spanning forest leave the
 task, at most one for each row.  A key with more than HOT rows leaves as blocks of rows instead, and each pair of blocks
-is one task of bounded size.  Components are then joined over all keys by alternating large-star and small-star rounds.
+is one task of bounded size.  Components are then joined over all keys: tasks contract the edges that they read, and
+alternating large-star and small-star rounds join what is left.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other; a null doc_id
 keeps its row and counts after all others when the smallest is sought; repeated rows get equal results; an empty table
@@ -38,6 +39,8 @@ BITS, SEED = 64, 42
 HOT = 4096
 #: Rows of one fingerprint from which they are not brought together, and how many such fingerprints may be broadcast.
 HOT_ROWS, HOT_PRINTS = 1000, 1_000_000
+#: Edges that a task contracts at once.
+CHUNK = 1 << 18
 #: Whole reference fingerprints, by a fixed seed.
 PIVOTS = np.random.default_rng(20).integers(0, 2**64, size=24, dtype=np.uint64)
 
@@ -260,24 +263,51 @@ def _hot_edges(met: DataFrame, radius: int) -> DataFrame:
     return pairs.groupBy("k", "a", "b").applyInArrow(compare, "u long, v long")
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v): of CHUNK of them at most at once, each node that they join to a smaller one and the smallest it reaches."""
+    held, n = [], 0
+    for b in _with_end(batches):
+        for k in range(0, b.num_rows if b is not None else 0, CHUNK):
+            held.append(b.slice(k, CHUNK))
+            n += held[-1].num_rows
+        while held and (n >= CHUNK or b is None):
+            part, n = pa.Table.from_batches(held), max(0, n - CHUNK)
+            held = part.slice(CHUNK).to_batches()
+            nodes, at = np.unique(np.concatenate([c.to_numpy() for c in part.slice(0, CHUNK).columns]), return_inverse=True)
+            rows, to = _forest(len(nodes), *at.reshape(2, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[to])], ["u", "v"])
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` written, and what each task makes of those it reads: as a rule far fewer, and u > v."""
+    return saved(saved(edges.select("u", "v"), "star").mapInArrow(_contract, "u long, v long"), "star")
+
+
+def _ends(edges: DataFrame) -> tuple[int, int]:
+    """Of edges (u, v), how many nodes have several v or are a u and a v, and how many are a u more than once."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))).alias("x")).select("x.*")
+    of = ends.groupBy("node").agg(F.min("to").alias("a"), F.max("to").alias("b"), F.count("to").alias("up"), F.count(F.lit(1)).alias("n"))
+    return tuple(of.agg(F.count_if((F.col("a") != F.col("b")) | ((F.col("up") > 0) & (F.col("n") > F.col("up")))), F.count_if(F.col("up") > 1)).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that edges (u, v) join to a smaller one; root is the smallest it can reach.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until nothing changes.
+    Each task first contracts the edges it reads.  Alternating large-star and small-star rounds follow, each written to
+    the shared folder and contracted again, until only stars are left.  The driver keeps records of every task and plan
+    of a job, so what is a forest of stars already takes no round.
     """
-    edges = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges = _contracted(edges)
+    while (ends := _ends(edges))[0]:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = edges.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
-        edges = saved(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if now == before and now[0] == now[2]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        edges = _contracted(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
+    if ends[1]:  # tasks may have made the same edge
+        edges = saved(edges.distinct(), "star")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def agreeing_blocks(n: int, radius: int) -> int:
