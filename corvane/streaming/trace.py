@@ -67,26 +67,43 @@ def budget_stream(events: DataFrame, budget: float = SETTINGS.token_budget, rese
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, spent double, stopped boolean", "spent double", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Keys of the state of a stream of scripts.  It is fixed in a stream's checkpoint.
+BUCKETS = 4096
+
+
 def repetition_stream(scripts: DataFrame, late: str = "7 days", forget: str = "7 days") -> DataFrame:
     """run, digest, seq, repeated: the batch rule as a stream, for rows (run, digest, seq, ts timestamp, rejected) that come in order of seq.
 
-    The state is one flag for each run and digest, so a run of any number of scripts is spread over all tasks; a pair that no
-    script has touched for ``forget`` beyond the watermark is dropped.
+    The state is kept by hash bucket of run and digest, so that Python is called once for a bucket and not for each pair, and a run
+    of any number of scripts is spread over all tasks.  A bucket remembers the pairs that were rejected and when each was last seen;
+    a pair that no script has touched for ``forget`` beyond the watermark is dropped.
     """
     keep_ms = int(pd.Timedelta(forget).total_seconds() * 1000)
+    pair = ["run", "digest"]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        known = {(r, d): till for r, d, till in zip(*state.get, strict=True) if till > now} if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("seq", kind="stable").reset_index(drop=True)
+            rows["rejected"] = rows["rejected"].fillna(False).astype(bool)
+            group = rows.groupby(pair, dropna=False, sort=False).ngroup()
+            earlier = rows["rejected"].astype("int64").groupby(group).cumsum() - rows["rejected"]
+            pairs = [(None if pd.isna(r) else r, None if pd.isna(d) else d) for r, d in zip(rows["run"], rows["digest"], strict=True)]
+            before = (earlier > 0) | pd.Series([p in known for p in pairs], dtype=bool)
+            last = rows["ts"].groupby(group).transform("max")
+            marked = rows["rejected"] | before
+            for i in marked.to_numpy().nonzero()[0]:
+                seen = last[i]
+                known[pairs[i]] = max(now if pd.isna(seen) else int(seen.timestamp() * 1000), now) + keep_ms
+            yield pd.DataFrame({"run": [p[0] for p in pairs], "digest": [p[1] for p in pairs], "seq": rows["seq"].to_numpy(), "repeated": before.to_numpy()})
+        if known:
+            state.update(([k[0] for k in known], [k[1] for k in known], list(known.values())))
+            state.setTimeoutTimestamp(max(min(known.values()), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        rejected = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches)).sort_values("seq")
-        earlier = rows["rejected"].fillna(False).astype(bool)
-        before = earlier.cummax().shift(fill_value=False) | rejected
-        state.update((bool(rejected or earlier.any()),))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame({"run": key[0], "digest": key[1], "seq": rows["seq"].to_numpy(), "repeated": before.to_numpy()})
-
-    keyed = scripts.select("run", "digest", "seq", "ts", "rejected").withWatermark("ts", late).groupBy("run", "digest")
+
     types = {f.name: f.dataType.simpleString() for f in scripts.schema}
-    return keyed.applyInPandasWithState(update, f"run {types['run']}, digest {types['digest']}, seq {types['seq']}, repeated boolean", "rejected boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = scripts.select(F.pmod(F.xxhash64(*pair), F.lit(BUCKETS)).cast("int").alias("bucket"), *[F.col(c).cast("string").alias(c) for c in pair], "seq", "ts", "rejected").withWatermark("ts", late).groupBy("bucket")
+    out = keyed.applyInPandasWithState(update, f"run string, digest string, seq {types['seq']}, repeated boolean", "run array<string>, digest array<string>, till array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*[F.col(c).cast(types[c]).alias(c) for c in pair], "seq", "repeated")
