@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +66,18 @@ def reference_edges(sections: DataFrame, doc: str) -> DataFrame:
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """src, dst: all that can be reached from src over one edge or more, src itself left out even on cycles.
 
-    Each round doubles the length of the paths, so the rounds grow with the logarithm of the longest path; each is
-    written to the shared folder.
+    Each round doubles the length of the paths, so the rounds grow with the logarithm of the longest path.  A round puts only the
+    longest of the shortest paths before others, so that in a tree a pair is met once; what it finds is written to the shared folder.
     """
-    reach = saved(edges.select("src", "dst").filter("src <> dst").distinct(), "reach")
-    n = reach.count()
-    for _ in range(most):
-        more = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).filter("src <> dst")
-        reach, last = saved(reach.unionByName(more).distinct(), "reach"), n
-        n = reach.count()
-        if n == last:
-            return reach
+    near = saved(edges.select("src", "dst").filter("src <> dst").distinct().withColumn("steps", F.lit(1).cast("long")), "reach")
+    parts, edge = [near], near
+    for i in range(most):
+        if not edge.take(1):
+            return near.select("src", "dst")
+        ahead = edge.select(F.col("src").alias("_from"), F.col("dst").alias("src")).join(near, "src").filter("_from <> dst")
+        more = ahead.groupBy(F.col("_from").alias("src"), "dst").agg((F.min("steps") + 2**i).alias("steps")).join(near.select("src", "dst"), ["src", "dst"], "left_anti")
+        parts.append(saved(more, "reach"))
+        near, edge = reduce(DataFrame.unionByName, parts), parts[-1].filter(F.col("steps") == 2 ** (i + 1))
     raise ValueError(f"paths of more than 2**{most} edges")
 
 
